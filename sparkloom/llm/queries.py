@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, decontaminate, line_templates, mixing, quality_rules, simhash, url_rules
+from sparkloom.llm import chat, decontaminate, language_id, line_templates, mixing, quality_rules, simhash, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_texts(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    profiles = language_id.learn_profiles(docs.where(~F.coalesce(held_out, F.lit(False))).select("lang", "text"))
+    out = language_id.predict_language(docs.select("doc_id", "text"), profiles)
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
