@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, decontaminate, language_id, line_templates, mixing, quality_rules, simhash, url_rules
+from sparkloom.llm import attention_quality, chat, decontaminate, html_text, language_id, line_templates, mixing, quality_rules, simhash, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = language_id.learn_profiles(docs.where(~F.coalesce(held_out, F.lit(False))).select("lang", "text"))
     out = language_id.predict_language(docs.select("doc_id", "text"), profiles)
     return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = attention_quality.fit(docs, labels.where(~held_out).select("doc_id", F.col("quality").alias("label")))
+    out = attention_quality.score_quality(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")

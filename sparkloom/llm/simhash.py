@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sparkloom.llm.common import components, stored
 
@@ -68,6 +69,23 @@ def links(prints: DataFrame, *, max_bits: int = 3, segments: int = 2) -> DataFra
     return asked.join(table, ["s", "v"]).where((F.col("a") < F.col("b")) & (_hamming(F.col("a"), F.col("b")) <= max_bits)).select("a", "b")
 
 
+def classes(prints: DataFrame, max_bits: int = 3, segments: int = 2) -> DataFrame:
+    """(fp, root, component_id, n_links): each distinct fingerprint of prints (fp, doc_id) with its group, named by root,
+    the smallest doc_id of the group and the number of other fingerprints that link to its own."""
+    least = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
+    found = stored(links(least.select("fp"), max_bits=max_bits, segments=segments).distinct(), "fingerprint-links")
+    n_links = found.select("a").union(found.select("b")).groupBy(F.col("a").alias("fp")).agg(F.count("*").alias("n_links"))
+    linked = least.join(n_links, "fp").join(components(found, "fingerprint-components").withColumnRenamed("node", "fp"), "fp")
+    of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = linked.join(of_root, "root").select("fp", "root", "component_id", "n_links")
+    return least.join(linked, "fp", "left").select(
+        "fp",
+        F.coalesce("root", "fp").alias("root"),
+        F.coalesce("component_id", "least").alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    )
+
+
 def near_duplicates(docs: DataFrame, *, max_bits: int = 3, segments: int = 2) -> DataFrame:
     """(doc_id, fp, fingerprint, component_id, n_links), a row for each row of docs.
 
@@ -78,11 +96,27 @@ def near_duplicates(docs: DataFrame, *, max_bits: int = 3, segments: int = 2) ->
     group that has no other has a null component_id. Other columns of docs are ignored.
     """
     prints = stored(fingerprints(docs), "fingerprints")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
-    found = stored(links(classes.select("fp"), max_bits=max_bits, segments=segments).distinct(), "fingerprint-links")
-    n_links = found.select("a").union(found.select("b")).groupBy(F.col("a").alias("fp")).agg(F.count("*").alias("n_links"))
-    linked = classes.join(n_links, "fp").join(components(found, "fingerprint-components").withColumnRenamed("node", "fp"), "fp")
-    of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = linked.join(of_root, "root").select("fp", "component_id", "n_links")
-    by_print = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    by_print = classes(prints, max_bits, segments)
     return prints.join(by_print, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, *, max_bits: int = 3, segments: int = 2) -> DataFrame:
+    """The rows of docs that stay when of each group of near-duplicates one row does: that with the smallest doc_id.
+
+    Of repeated rows and of rows without a doc_id, which come last, any one stays. Columns named _fp or _row are
+    dropped; the others pass through unchanged."""
+    docs = docs.drop("_fp", "_row")
+    schema = StructType([*docs.schema, StructField("_fp", LongType())])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [fingerprint(t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.int64())], [*batch.schema.names, "_fp"])
+
+    rows = docs.mapInArrow(add, schema)
+    rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "rows-with-fingerprints")
+    by_class = stored(classes(rows.select(F.col("_fp").alias("fp"), "doc_id"), max_bits, segments), "classes")
+    roots = rows.select("_fp", "_row", "doc_id").join(by_class.select(F.col("fp").alias("_fp"), "root"), "_fp")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    keep = roots.groupBy("root").agg(F.min(order)["_row"].alias("_row")).select("_row")
+    return rows.join(keep, "_row", "left_semi").drop("_fp", "_row")
