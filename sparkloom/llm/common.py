@@ -100,6 +100,18 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, n: str, hot: int = 1000) -> DataFrame:
+    """rows joined (inner) with keyed, a stored table with one row for each key and the number n of rows that have it.
+
+    Keys that have over 1 / hot of all the rows counted, fewer than hot of them, are broadcast; no other key's rows
+    are more than a small part of what is shuffled. So a frequent key never meets in one task."""
+    total = keyed.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    heavy = keyed.where(F.col(n) * hot > F.lit(total))
+    light = keyed.where(F.col(n) * hot <= F.lit(total))
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(heavy), key).unionByName(rest.join(light, key))
+
+
 def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """(node, root): root is the smallest node that edges (a, b) reach from node.
 

@@ -5,98 +5,98 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import let, stored, words
+from sparkloom.llm.common import join_hot, let, small, stored
 
 #: What stands for a token that varies: one with a digit.
 FIELD = "<*>"
+_BLANKS = ("\t", "\x0b", "\x0c", "\r")
+
+
+def _plain(line: Column) -> Column:
+    """The line with one space between tokens, none around, and FIELD for each token with a digit."""
+    odd = line.contains("  ")
+    for blank in _BLANKS:
+        odd = odd | line.contains(blank)
+    line = F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(line))
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(line)
+
+
+def _lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, body, at, value): each line that may have min_words tokens; body tells texts with equal ids apart."""
+    lines = F.posexplode(F.split("text", "\n")).alias("at", "value")
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("body"), lines)
+    return rows.where(F.length("value") >= 2 * min_words - 1)
+
+
+def _named_lines(docs: DataFrame, min_words: int, depth: int) -> DataFrame:
+    """(doc_id, body, at, leaf, line): lines of min_words tokens or more with their leaf of the tree (token count, then leading
+    tokens) and a hash of the whole line."""
+    rows = _lines(docs, min_words).withColumn("value", _plain(F.col("value")))
+    rows = rows.withColumn("n", F.length("value") - F.length(F.replace("value", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= min_words)
+    return rows.select("doc_id", "body", "at", F.xxhash64("n", F.substring_index("value", " ", depth)).alias("leaf"), F.xxhash64("value").alias("line"))
+
+
+def _recurring(docs: DataFrame, held: DataFrame, min_words: int, similarity: float, max_broadcast_rows: int) -> DataFrame:
+    pick = F.xxhash64("doc_id", "body", "at")
+    counts = (F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min(pick).alias("pick"))
+    of_line = stored(held.groupBy("leaf", "line").agg(*counts), "lines")
+    mixed = stored(of_line.groupBy("leaf").agg(F.count("*").alias("n_lines")).where("n_lines > 1"), "mixed-leaves")
+    # Only leaves with more than one kind of line need tokens: one line of each kind shows them.
+    shown = stored(join_hot(of_line, mixed, "leaf", "n_lines"), "mixed-lines")
+    tokens = _lines(docs, min_words).select(pick.alias("pick"), "value").join(small(shown, max_broadcast_rows), "pick")
+    tokens = tokens.withColumn("tokens", F.split(_plain(F.col("value")), " ")).drop("value", "pick", "n_lines")
+    tokens = stored(tokens.dropDuplicates(["line"]), "line-tokens")  # repeated rows have equal picks
+    places = tokens.select("leaf", "n", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.sum("n").alias("n"))
+    usual = places.groupBy("leaf", "place").agg(F.max(F.struct("n", "token"))["token"].alias("usual"))
+    usual = usual.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "usual"))), lambda x: x["usual"]).alias("usual"))
+    usual = stored(usual.join(mixed, "leaf"), "templates")
+    agree = F.aggregate(F.zip_with("tokens", "usual", lambda a, b: (a == b).cast("int")), F.lit(0), lambda t, x: t + x)
+    alike = join_hot(tokens, usual, "leaf", "n_lines").where(agree >= similarity * F.size("tokens"))
+    alike = stored(alike.select("leaf", "line", "n", "first_doc", "last_doc"), "alike-lines")
+    whole = alike.groupBy("leaf").agg(F.count("*").alias("n_lines"), F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"))
+    general = join_hot(alike.select("leaf", "line", "n"), stored(whole.where("first_doc <> last_doc"), "recurring-templates"), "leaf", "n_lines")
+    exact = of_line.where("first_doc <> last_doc").join(small(alike.select("line"), max_broadcast_rows), "line", "left_anti")
+    return exact.select("line", F.col("line").alias("template"), "first_doc", "n").unionByName(general.select("line", F.col("leaf").alias("template"), "first_doc", "n"))
 
 
-def _tokens(line: Column) -> Column:
-    return F.transform(words(line), lambda w: F.when(w.rlike("[0-9]"), FIELD).otherwise(w))
-
-
-def _leaf(tokens: Column, depth: int) -> Column:
-    """The leaf of the tree: the token count, then the leading tokens."""
-    return F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth))
-
-
-def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n")
-
-
-def line_keys(text: Column, min_words: int, depth: int) -> Column:
-    """For each line of min_words tokens or more, as array: struct(leaf, line, at)."""
-
-    def key(line: Column, at: Column) -> Column:
-        # A line of min_words words has at least 2 * min_words - 1 characters.
-        def of(tokens: Column) -> Column:
-            return F.when(F.size(tokens) >= min_words, F.struct(_leaf(tokens, depth).alias("leaf"), F.xxhash64(tokens).alias("line"), at.alias("at")))
-
-        return F.when(F.length(line) >= 2 * min_words - 1, let(_tokens(line), of))
-
-    return F.filter(F.transform(_lines(text), key), lambda x: x.isNotNull())
-
-
-def recurring_lines(docs: DataFrame, *, min_words: int = 8, depth: int = 4, similarity: float = 0.8, min_docs: int = 2) -> DataFrame:
-    """(line, template, first_doc, n_docs): the lines whose template occurs in min_docs documents or more,
-    with the template's smallest doc_id.
+def recurring_lines(docs: DataFrame, *, min_words: int = 8, depth: int = 4, similarity: float = 0.8, max_broadcast_rows: int = 200_000) -> DataFrame:
+    """(line, template, first_doc, n): the lines whose template occurs in two documents or more, with the template's smallest
+    doc_id and the number of times the line occurs.
 
     Lines with the same token count and the same depth leading tokens (tokens with a digit count as
     equal) share a leaf. A leaf's template has at each place its most frequent token; lines that agree
     with it in at least the share similarity of their tokens take it, and its other places are variable
-    fields. Any other line is a template by itself. A document counts once however often it holds a line.
+    fields. Any other line is a template by itself.
     """
-    key = line_keys(F.col("text"), min_words, depth)
-    held = docs.where("doc_id is not null").select("doc_id", F.explode(F.array_distinct(F.transform(key, lambda k: F.struct(k["leaf"].alias("leaf"), k["line"].alias("line"))))).alias("k"))
-    held = stored(held.select("doc_id", "k.leaf", "k.line").distinct(), "document-lines")
-    of_line = stored(held.groupBy("leaf", "line").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")), "lines")
-    mixed = of_line.groupBy("leaf").agg(F.count("*").alias("n_lines")).where("n_lines > 1").select("leaf")
-    # Only leaves with more than one kind of line need their tokens: one document for each kind shows them.
-    shown = of_line.join(mixed, "leaf", "left_semi").select("leaf", "line", "n_docs", F.col("first_doc").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(shown.select("doc_id").distinct(), "doc_id", "left_semi")
-    numbered = texts.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("i", "value")).where(F.length("value") >= 2 * min_words - 1)
-    numbered = numbered.select("doc_id", _tokens(F.col("value")).alias("tokens")).where(F.size("tokens") >= min_words)
-    numbered = numbered.select("doc_id", F.xxhash64("tokens").alias("line"), "tokens")
-    tokens = stored(shown.join(numbered, ["doc_id", "line"]).dropDuplicates(["line"]), "line-tokens")
-    places = tokens.select("leaf", "line", "n_docs", F.posexplode("tokens").alias("place", "token"))
-    usual = places.groupBy("leaf", "place", "token").agg(F.sum("n_docs").alias("n"))
-    usual = usual.groupBy("leaf", "place").agg(F.max(F.struct("n", "token"))["token"].alias("usual"))
-    usual = usual.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "usual"))), lambda x: x["usual"]).alias("usual"))
-    agree = F.aggregate(F.zip_with("tokens", "usual", lambda a, b: (a == b).cast("int")), F.lit(0), lambda t, x: t + x)
-    alike = tokens.join(usual, "leaf").where(agree >= similarity * F.size("tokens")).select("line", F.col("leaf").alias("template"))
-    named = of_line.join(alike, "line", "left").select("line", "n_docs", "first_doc", F.col("template").isNotNull().alias("general"), F.coalesce("template", "line").alias("template"))
-    general = held.join(named.where("general").select("line", "template"), "line").select("doc_id", "template").distinct()
-    counts = general.groupBy("template").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
-    exact = named.where("not general and n_docs >= %d" % min_docs).select("line", "template", "first_doc", "n_docs")
-    return exact.unionByName(named.where("general").select("line", "template").join(counts.where(F.col("n_docs") >= min_docs), "template"))
+    held = stored(_named_lines(docs, min_words, depth), "document-lines")
+    return _recurring(docs, held, min_words, similarity, max_broadcast_rows)
 
 
-def dedup_lines(docs: DataFrame, *, min_words: int = 8, depth: int = 4, similarity: float = 0.8, min_docs: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_words: int = 8, depth: int = 4, similarity: float = 0.8, max_broadcast_rows: int = 200_000) -> DataFrame:
     """docs with text freed of recurring lines, and n_lines and n_dropped (replacing columns of these names).
 
-    A line goes if its template (see recurring_lines) occurs in min_docs documents or more and another
+    A line goes if its template (see recurring_lines) occurs in two documents or more and another
     document, the one with the smallest doc_id, holds it; there it stays, so one instance of everything
     is left. Lines of fewer than min_words tokens are never dropped, and a document's own repetitions
     are left to other rules. Null and empty texts stay as they are. Rows without a doc_id lose nothing
-    and do not count; rows with the same doc_id are parts of one document.
+    and do not count; rows with the same doc_id are parts of one document. Columns that begin with _line_ are dropped.
     """
-    found = stored(recurring_lines(docs, min_words=min_words, depth=depth, similarity=similarity, min_docs=min_docs).select("line", "first_doc"), "recurring-lines")
-    key = line_keys(F.col("text"), min_words, depth)
-    held = docs.where("doc_id is not null").select("doc_id", F.explode(F.array_distinct(F.transform(key, lambda k: k["line"]))).alias("line"))
-    drop = held.join(found, "line").where("doc_id <> first_doc").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line").alias("_drop"))
-    out = docs.drop("n_lines", "n_dropped").join(drop, F.col("doc_id") == F.col("_doc"), "left")
-
-    def keep(lines: Column) -> Column:
-        at = F.transform(F.filter(key, lambda k: F.array_contains("_drop", k["line"])), lambda k: k["at"])
-        return let(at, lambda gone: F.filter(lines, lambda _, i: ~F.array_contains(gone, i)))
-
-    lines = _lines(F.col("text"))
-    rest = F.when(F.col("_drop").isNotNull(), let(lines, keep))
-    out = out.withColumn("_rest", rest).withColumns(
+    held = stored(_named_lines(docs, min_words, depth), "document-lines")
+    found = stored(_recurring(docs, held, min_words, similarity, max_broadcast_rows).select("line", "first_doc", "n"), "recurring-lines")
+    drop = join_hot(held, found, "line", "n").where("doc_id <> first_doc")
+    drop = drop.groupBy(F.col("doc_id").alias("_line_doc"), F.col("body").alias("_line_body")).agg(F.collect_set("at").alias("_line_drop"))
+    out = docs.drop("n_lines", "n_dropped", *[c for c in docs.columns if c.startswith("_line_")])
+    out = out.join(drop, (F.col("doc_id") == F.col("_line_doc")) & (F.xxhash64("text") == F.col("_line_body")), "left")
+
+    def kept(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_line_drop"))
+        return F.transform(left, lambda i: F.get(lines, i))
+
+    lines = F.split("text", "\n")
+    return out.withColumn("_line_rest", F.when(F.col("_line_drop").isNotNull(), let(lines, kept))).withColumns(
         {
             "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"),
-            "n_dropped": F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("_rest")).cast("long"),
-            "text": F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join("_rest", "\n")),
+            "n_dropped": F.coalesce(F.size("_line_drop"), F.lit(0)).cast("long"),
+            "text": F.when(F.col("_line_drop").isNull(), F.col("text")).otherwise(F.array_join("_line_rest", "\n")),
         }
-    )
-    return out.drop("_doc", "_drop", "_rest")
+    ).drop("_line_doc", "_line_body", "_line_drop", "_line_rest")
