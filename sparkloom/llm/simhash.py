@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from sparkloom.llm.common import components, stored
+from sparkloom.llm.common import components, join_hot, stored
 
 SEED = 42
 _CHUNK = 1 << 16
@@ -70,20 +70,22 @@ def links(prints: DataFrame, *, max_bits: int = 3, segments: int = 2) -> DataFra
 
 
 def classes(prints: DataFrame, max_bits: int = 3, segments: int = 2) -> DataFrame:
-    """(fp, root, component_id, n_links): each distinct fingerprint of prints (fp, doc_id) with its group, named by root,
-    the smallest doc_id of the group and the number of other fingerprints that link to its own."""
-    least = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
+    """(fp, n, root, component_id, n_links): each distinct fingerprint of prints (fp, doc_id) with its number of rows, its
+    group, named by root, the smallest doc_id of the group and the number of other fingerprints that link to its own."""
+    least = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "fingerprint-classes")
     found = stored(links(least.select("fp"), max_bits=max_bits, segments=segments).distinct(), "fingerprint-links")
     n_links = found.select("a").union(found.select("b")).groupBy(F.col("a").alias("fp")).agg(F.count("*").alias("n_links"))
     linked = least.join(n_links, "fp").join(components(found, "fingerprint-components").withColumnRenamed("node", "fp"), "fp")
     of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = linked.join(of_root, "root").select("fp", "root", "component_id", "n_links")
-    return least.join(linked, "fp", "left").select(
+    out = least.join(linked, "fp", "left").select(
         "fp",
+        "n",
         F.coalesce("root", "fp").alias("root"),
         F.coalesce("component_id", "least").alias("component_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
+    return stored(out, "fingerprint-groups")
 
 
 def near_duplicates(docs: DataFrame, *, max_bits: int = 3, segments: int = 2) -> DataFrame:
@@ -97,7 +99,7 @@ def near_duplicates(docs: DataFrame, *, max_bits: int = 3, segments: int = 2) ->
     """
     prints = stored(fingerprints(docs), "fingerprints")
     by_print = classes(prints, max_bits, segments)
-    return prints.join(by_print, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
+    return join_hot(prints, by_print, "fp", "n").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
 
 
 def one_of_each(docs: DataFrame, *, max_bits: int = 3, segments: int = 2) -> DataFrame:
@@ -115,8 +117,8 @@ def one_of_each(docs: DataFrame, *, max_bits: int = 3, segments: int = 2) -> Dat
 
     rows = docs.mapInArrow(add, schema)
     rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "rows-with-fingerprints")
-    by_class = stored(classes(rows.select(F.col("_fp").alias("fp"), "doc_id"), max_bits, segments), "classes")
-    roots = rows.select("_fp", "_row", "doc_id").join(by_class.select(F.col("fp").alias("_fp"), "root"), "_fp")
+    by_class = classes(rows.select(F.col("_fp").alias("fp"), "doc_id"), max_bits, segments)
+    roots = join_hot(rows.select(F.col("_fp").alias("fp"), "_row", "doc_id"), by_class.select("fp", "n", "root"), "fp", "n")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
     keep = roots.groupBy("root").agg(F.min(order)["_row"].alias("_row")).select("_row")
     return rows.join(keep, "_row", "left_semi").drop("_fp", "_row")
