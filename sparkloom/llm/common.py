@@ -113,7 +113,7 @@ def join_hot(rows: DataFrame, keyed: DataFrame, key: str, n: str, hot: int = 100
 
 
 def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
-    """(node, root): root is the smallest node that edges (a, b) reach from node.
+    """(node, root) for every node of edges (a, b): root is the smallest node that they reach from node, itself included.
 
     Each round joins every node's neighbours to their smallest (large-star), then hangs a node's
     smaller neighbours from the smallest of these (small-star), until the edges no longer change.
@@ -136,4 +136,5 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
         before = state
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return pairs.groupBy("b").agg(F.min("a").alias("root")).withColumnRenamed("b", "node")
+    leaves = pairs.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
+    return leaves.unionByName(leaves.select(F.col("root").alias("node"), "root").distinct())

@@ -89,3 +89,54 @@ def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = attention_quality.fit(docs, labels.where(~held_out).select("doc_id", F.col("quality").alias("label")))
     out = attention_quality.score_quality(docs, model)
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_RULES = ", ".join(f"('{r}', '{r[: r.index('/')]}', '{r[r.index('/') :]}', '{v}')" for r, v in URL_RULES)
+ORACLES["op6_url_filter"] = f"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(rule, host, path, verdict) AS (VALUES {_RULES}),
+m AS (SELECT page_id, rule, verdict FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) = 1)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)"""
+ORACLES["op10_chat_snapshots"] = """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS l FROM t GROUP BY conv_id),
+p AS (SELECT DISTINCT l[1:i] AS l FROM (SELECT l, unnest(range(1, len(l))) AS i FROM c)),
+w AS (SELECT l, min(conv_id) AS conv_id, count(*) AS n_equal FROM c GROUP BY l)
+SELECT conv_id, len(l) AS n_turns, n_equal,
+  array_to_string(list_transform(l, lambda x: '<|im_start|>' || coalesce(x.role, '') || chr(10) || coalesce(x.text, '') || '<|im_end|>' || chr(10)), '') AS text
+FROM w ANTI JOIN p USING (l)"""
+
+
+def _alnum_words(column: str, source: str) -> str:
+    text = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
+    return f"SELECT {column}, list_filter(string_split_regex({text}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM {source}"
+
+
+ORACLES["op3_benchmark_decontamination"] = f"""
+WITH d AS ({_alnum_words('doc_id', 'documents')}), b AS ({_alnum_words('item_id', 'benchmark')}),
+win AS (SELECT DISTINCT item_id, k, array_to_string(w[i + 1 : i + k], ' ') AS gram FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(0, len(w) - least(10, len(w)) + 1)) AS i FROM b WHERE len(w) > 0)),
+g AS (SELECT doc_id, k, i, array_to_string(w[i + 1 : i + k], ' ') AS gram FROM (SELECT doc_id, w, k, unnest(range(0, greatest(len(w) - k + 1, 0))) AS i FROM d, (SELECT DISTINCT k FROM win))),
+h AS (SELECT DISTINCT doc_id, item_id, g.k, i FROM g JOIN win USING (k, gram)),
+n AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS pos FROM h) GROUP BY doc_id),
+s AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS ids FROM h GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)"""
+_TOKEN = r"[^\x20\x09\x0B-\x0D]+"
+ORACLES["op5_line_templates"] = f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
+k AS (SELECT doc_id, pos, list_transform(regexp_extract_all(line, '{_TOKEN}'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tokens FROM l),
+h AS (SELECT *, len(tokens) AS n, tokens[1:4] AS head FROM k WHERE len(tokens) >= 8 AND doc_id IS NOT NULL),
+o AS (SELECT n, head, tokens, count(*) AS c FROM h GROUP BY ALL),
+mixed AS (SELECT n, head FROM o GROUP BY ALL HAVING count(*) > 1),
+places AS (SELECT n, head, c, unnest(tokens) AS token, unnest(range(0, n)) AS place FROM o JOIN mixed USING (n, head)),
+votes AS (SELECT n, head, place, token, sum(c) AS v FROM places GROUP BY n, head, place, token QUALIFY row_number() OVER (PARTITION BY n, head, place ORDER BY sum(c) DESC, token DESC) = 1),
+usual AS (SELECT n, head, list(token ORDER BY place) AS usual FROM votes GROUP BY ALL),
+alike AS (SELECT tokens, n, head FROM o JOIN usual USING (n, head) WHERE len(list_filter(list_zip(tokens, usual), lambda z: z[1] = z[2])) >= 0.8 * n),
+named AS (SELECT h.*, alike.tokens IS NOT NULL AS general FROM h LEFT JOIN alike USING (tokens)),
+firsts AS (SELECT doc_id, pos, min(doc_id) OVER w AS lo FROM named WINDOW w AS (PARTITION BY general, n, head, CASE WHEN general THEN NULL ELSE tokens END)),
+gone AS (SELECT doc_id, pos FROM firsts WHERE doc_id <> lo),
+kept AS (SELECT l.doc_id, count(*) AS n_lines, count(gone.pos) AS n_dropped, coalesce(string_agg(CASE WHEN gone.pos IS NULL THEN line END, chr(10) ORDER BY l.pos), '') AS text FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.pos = l.pos GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, kept.text FROM documents d LEFT JOIN kept USING (doc_id)"""
