@@ -117,7 +117,7 @@ def minmax_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_composite(C.WEIGHTS_2, C.BONUS_2)}, b AS (SELECT max(score) AS m, {_first('true')} AS id FROM s), k AS (SELECT coalesce({_first("feature_set = 'top20' AND score >= (SELECT m FROM b) - 0.03")},
   CASE WHEN (SELECT feature_set FROM s WHERE s.id = (SELECT id FROM b)) = 'all' THEN {_first("feature_set IN ('top20', 'top50') AND score >= (SELECT m FROM b) - 0.08")} END, (SELECT id FROM b)) AS id)
-SELECT s.id, feature_set, eligible, round(score, 6) AS score, s.id = (SELECT id FROM k) AS recommended FROM s""")
+SELECT s.id, feature_set, eligible, round(score, 6) AS score, coalesce(s.id = (SELECT id FROM k), false) AS recommended FROM s""")
 def composite_selection_k2(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = C.composite_scores(_candidates(spark, sf_dir), C.WEIGHTS_2, C.BONUS_2, F.col("size") >= 8)
     return rounded(C.choose_2(scored).select("id", "feature_set", "eligible", "score", "recommended"))
@@ -127,7 +127,7 @@ def composite_selection_k2(spark: SparkSession, sf_dir: str) -> DataFrame:
   THEN {_first("feature_set IN ('top20', 'top50') AND score >= (SELECT max(score) FROM s) - 0.08")} END, (SELECT id FROM b)) AS id),
 b2 AS (SELECT coalesce(CASE WHEN (SELECT feature_set FROM s WHERE s.id = (SELECT id FROM b1)) = 'top20'
   THEN {_first("feature_set = 'top50' AND score >= (SELECT s2.score FROM s s2 WHERE s2.id = (SELECT id FROM b1)) - 0.03")} END, (SELECT id FROM b1)) AS id)
-SELECT s.id, feature_set, eligible, round(score, 6) AS score, s.id = (SELECT id FROM b2) AS recommended FROM s""")
+SELECT s.id, feature_set, eligible, round(score, 6) AS score, coalesce(s.id = (SELECT id FROM b2), false) AS recommended FROM s""")
 def composite_selection_k6(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = C.composite_scores(_candidates(spark, sf_dir), C.WEIGHTS_6, C.BONUS_6, F.col("size") >= 8)
     return rounded(C.choose_6(scored).select("id", "feature_set", "eligible", "score", "recommended"))
