@@ -176,8 +176,8 @@ def quality_verdicts(
     max_languages: int = 10_000,
 ) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance,
-    mark_distance, common_distance, base_failed and kept; without text if keep_text is False (then the text is read
-    once: histograms are stored, and references averaged from them).
+    mark_distance, common_distance, base_failed and kept; without text if keep_text is False. The text is read
+    once: histograms are stored, with the text if it is kept, and references averaged from them.
 
     A document fails the base rules with fewer than min_words words, or if over max_repeat_percent of
     its words lie in repeated windows. Else it is kept unless the histogram of its character classes
@@ -190,12 +190,9 @@ def quality_verdicts(
     """
     common = common or COMMON_WORDS
     docs = docs.drop(*_MADE)
-    if keep_text:
-        references = references if references is not None else stored(language_references(docs, common), "language-references")
-        facts = _with_histograms(docs, common, window)
-    else:
-        facts = stored(_with_histograms(docs, common, window).drop("text"), "quality-facts")
-        references = references if references is not None else stored(_averaged(facts, common), "language-references")
+    facts = _with_histograms(docs, common, window)
+    facts = stored(facts if keep_text else facts.drop("text"), "quality-facts")
+    references = references if references is not None else stored(_averaged(facts, common), "language-references")
     ref = small(references.select(*[F.col(c).alias(f"_{c}") for c in ("lang", *_REFS)]), max_languages)
     f = F.col("_facts")
     out = facts.join(ref, F.coalesce("lang", F.lit("")) == F.col("_lang"), "left").withColumns(
