@@ -132,3 +132,17 @@ def cluster_label_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = C.kmeans(C.principal(_data(spark, sf_dir), 5), 2).withColumnRenamed("label", "y").persist()
     folds = M.stratified_folds(labels, "id", "y")
     return L.evaluate(L.cross_validate(embedding_points(spark, sf_dir).select("id", "vector").join(folds, "id"), L.logistic))
+
+
+@query()
+def cluster_label_classifier_6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well a logistic model finds six k-means clusters again: metrics over all held-out rows."""
+    labels = C.kmeans(C.principal(_data(spark, sf_dir), 5), 6).withColumnRenamed("label", "y").persist()
+    rows = embedding_points(spark, sf_dir).select("id", "vector").join(M.stratified_folds(labels, "id", "y"), "id").persist()
+    called = L.cross_validate_classes(rows, L.logistic)
+    return M.multiclass_metrics(M.confusion_long(called, "y", "predicted", list(range(6))))
+
+
+@query()
+def sparse_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.sparse_components(_data(spark, sf_dir))

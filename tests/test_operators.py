@@ -126,6 +126,15 @@ def test_ward_finds_far_groups(spark):
     assert len({(i % 3, labels[i]) for i in range(90)}) == 3
 
 
+def test_sparse_components_are_sparse_and_of_length_one(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 6))
+    x[:, 1] = x[:, 0] + 0.1 * rng.normal(size=200)
+    data = cluster.standardised(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id int, vector array<double>"))
+    v = np.array([r.loading for r in cluster.sparse_components(data, 2, penalty=0.3).where("component = 0").orderBy("feature").collect()])
+    assert np.linalg.norm(v) == pytest.approx(1) and (abs(v) > 1e-9).sum() == 2 and abs(v[0] * v[1]) == pytest.approx(0.5, abs=0.05)
+
+
 def test_banner_csv(spark, tmp_path):
     (tmp_path / "in" / "deep").mkdir(parents=True)
     (tmp_path / "in" / "banner.csv").write_text("﻿ Group A,,\nid,x,name\n1,2.5,a\n2,,b\n", encoding="utf-8")
