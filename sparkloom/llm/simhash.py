@@ -18,22 +18,29 @@ SEED = 42
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The 64-bit fingerprint as a signed number; 0 without words."""
+def digests(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """The hashes of the runs of width words, in parts; a shorter text is one run, one without words has none."""
     found = (text or "").encode().lower().split()  # of bytes: lowers A-Z, splits at ASCII white space
     if not found:
-        return 0
+        return
     width = min(width, len(found))
     line = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = (ends - [len(w) for w in found])[: len(found) - width + 1].tolist()
     ends = ends[width - 1 :].tolist()
-    digest, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for i in range(0, len(starts), _CHUNK):
-        hashes = [digest(line[a:b], SEED) for a, b in zip(starts[i : i + _CHUNK], ends[i : i + _CHUNK])]
-        bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        yield np.array([digest(line[a:b], SEED) for a, b in zip(starts[i : i + _CHUNK], ends[i : i + _CHUNK])], np.uint64)
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The 64-bit fingerprint as a signed number; 0 without words."""
+    total, n = np.zeros(64, np.int64), 0
+    for hashes in digests(text, width):
+        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         total += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(starts)).view(">i8")[0])
+        n += len(hashes)
+    return int(np.packbits(2 * total > n).view(">i8")[0])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
