@@ -111,6 +111,11 @@ def _repeated(found: Column, width: int) -> Column:
     )
 
 
+def _common_share(counts: Column) -> Column:
+    """The share of all words that the common ones are, which stand before the last."""
+    return let(_shares(counts), lambda a: 1 - F.get(a, F.size(a) - 1))
+
+
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _REFS = ("class_ref", "mark_ref", "common_ref")
 _MADE = (*_COUNTS, "class_distance", "mark_distance", "common_distance", "base_failed", "kept", "_facts")
@@ -173,6 +178,8 @@ def quality_verdicts(
     max_mark_distance: float = 0.52,
     min_common_words: int = 50,
     max_common_distance: float = 0.55,
+    min_expected_common: int = 10,
+    min_common_percent: int = 10,
     max_languages: int = 10_000,
 ) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance,
@@ -183,7 +190,9 @@ def quality_verdicts(
     its words lie in repeated windows. Else it is kept unless the histogram of its character classes
     (from min_class_chars characters on), of those classes that mark up a text (capitals, points
     and symbols; from min_marks of them on) or of its common words (from min_common_words words on) lies
-    further than the limit from the reference of its language. Shorter texts, and languages without a
+    further than the limit from the reference of its language. Nor is it kept if, of the common words that
+    the reference lets expect in so many words, min_expected_common at least, it has fewer than min_common_percent.
+    Shorter texts, and languages without a
     reference or word list, are not compared (null distance). A null text counts as empty. Rows are
     judged one by one, so repeated rows get equal verdicts and an empty table gives an empty result;
     other columns pass through, and columns that clash with the new names are replaced.
@@ -193,7 +202,8 @@ def quality_verdicts(
     facts = _with_histograms(docs, common, window)
     facts = stored(facts if keep_text else facts.drop("text"), "quality-facts")
     references = references if references is not None else stored(_averaged(facts, common), "language-references")
-    ref = small(references.select(*[F.col(c).alias(f"_{c}") for c in ("lang", *_REFS)]), max_languages)
+    ref = references.select(*[F.col(c).alias(f"_{c}") for c in ("lang", *_REFS)], _common_share(F.col("common_ref")).alias("_common_part"))
+    ref = small(ref, max_languages)
     f = F.col("_facts")
     out = facts.join(ref, F.coalesce("lang", F.lit("")) == F.col("_lang"), "left").withColumns(
         {c: f[c] for c in _COUNTS}
@@ -204,5 +214,8 @@ def quality_verdicts(
             "base_failed": (f["n_words"] < min_words) | (100 * f["n_repeat_words"] > max_repeat_percent * f["n_words"]),
         }
     )
-    far = [F.coalesce(F.col(c) > most, F.lit(False)) for c, most in (("class_distance", max_class_distance), ("mark_distance", max_mark_distance), ("common_distance", max_common_distance))]
-    return out.withColumn("kept", ~(F.col("base_failed") | far[0] | far[1] | far[2])).drop("_facts", "_lang", *[f"_{c}" for c in _REFS])
+    enough, expected = f["n_words"] >= min_common_words, f["n_words"] * F.col("_common_part")
+    rare = enough & (expected >= min_expected_common) & (100 * f["n_words"] * _common_share(f["common"]) < min_common_percent * expected)
+    far = [F.col(c) > most for c, most in (("class_distance", max_class_distance), ("mark_distance", max_mark_distance), ("common_distance", max_common_distance))]
+    far = [F.coalesce(x, F.lit(False)) for x in (*far, rare)]
+    return out.withColumn("kept", ~(F.col("base_failed") | far[0] | far[1] | far[2] | far[3])).drop("_facts", "_lang", "_common_part", *[f"_{c}" for c in _REFS])
