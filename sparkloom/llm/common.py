@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -86,18 +89,69 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends there, and what was
     computed outlives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
+    path = f"{_SCRATCH.get() or shared_dir(spark) + '/sparkloom'}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Marks a stored table for broadcast if it has max_rows rows at most; else Spark shuffles it."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever Hadoop's file systems reach it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder for everything that stored() writes within the block. It goes with the block, so results that
+    outlive it must be written elsewhere first."""
+    path = f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
+    token = _SCRATCH.set(path)
+    try:
+        yield path
+    finally:
+        _SCRATCH.reset(token)
+        discard(spark, path)
+
+
+def free_names(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to differ from those taken."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def _width(value: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes in memory."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        size = F.coalesce(F.size(value), F.lit(0))
+        if isinstance(kind.elementType, (StringType, BinaryType, ArrayType, StructType)):
+            return F.aggregate(F.coalesce(value, F.array().cast(kind)), F.lit(16), lambda t, x: t + _width(x, kind.elementType).cast("int"))
+        return 8 * size + 16
+    if isinstance(kind, StructType):
+        return sum((_width(value[f.name], f.dataType) for f in kind), F.lit(16))
+    return F.lit(8)
+
+
+def small(df: DataFrame, max_rows: int, max_bytes: int = 64 << 20) -> DataFrame:
+    """Marks a stored table for broadcast if it has max_rows rows and, by the lengths of its values, max_bytes bytes at
+    most; else Spark shuffles it."""
+    if df.limit(max_rows + 1).count() > max_rows:
+        return df
+    bytes_ = df.agg(F.sum(sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(0)).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if bytes_ <= max_bytes else df
 
 
 def join_hot(rows: DataFrame, keyed: DataFrame, key: str, n: str, hot: int = 1000) -> DataFrame:

@@ -5,68 +5,108 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import join_hot, let, small, stored
+from sparkloom.llm.common import free_names, join_hot, let, small, stored
 
 #: What stands for a token that varies: one with a digit.
 FIELD = "<*>"
 _BLANKS = ("\t", "\x0b", "\x0c", "\r")
 
 
-def _plain(line: Column) -> Column:
-    """The line with one space between tokens, none around, and FIELD for each token with a digit."""
+def _spaced(line: Column) -> Column:
+    """The line with one space between tokens and none around."""
     odd = line.contains("  ")
     for blank in _BLANKS:
         odd = odd | line.contains(blank)
-    line = F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(line))
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(line)
+    return F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(line))
+
+
+def _plain(line: Column, n: Column, min_words: int) -> Column:
+    """A spaced line of n tokens with FIELD for each token with a digit. Lines of fewer than min_words tokens, and those whose
+    every token has a digit, such as the rows of a table, stand for themselves."""
+    masked = F.regexp_replace(line, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)
+    fixed = F.length(F.replace(F.replace(masked, F.lit(FIELD), F.lit("")), F.lit(" "), F.lit(""))) > 0
+    return F.when((n < min_words) | ~line.rlike("[0-9]"), line).otherwise(F.when(fixed, masked).otherwise(line))
+
+
+def _hash(*values: Column) -> Column:
+    """128 bits, for what is told apart by its hash alone."""
+    return F.struct(F.xxhash64(*values).alias("x"), F.xxhash64(F.lit(1), *values).alias("y"))
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, body, at, value): each line that may have min_words tokens; body tells texts with equal ids apart."""
+    """(doc_id, body, at, n, value): each line with a token, n being their number; body tells texts with equal ids apart."""
     lines = F.posexplode(F.split("text", "\n")).alias("at", "value")
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("body"), lines)
-    return rows.where(F.length("value") >= 2 * min_words - 1)
+    rows = rows.where("value <> ''").withColumn("value", _spaced(F.col("value"))).where("value <> ''")
+    rows = rows.withColumn("n", F.length("value") - F.length(F.replace("value", F.lit(" "), F.lit(""))) + 1)
+    return rows.withColumn("value", _plain(F.col("value"), F.col("n"), min_words))
 
 
 def _named_lines(docs: DataFrame, min_words: int, depth: int) -> DataFrame:
-    """(doc_id, body, at, leaf, line): lines of min_words tokens or more with their leaf of the tree (token count, then leading
-    tokens) and a hash of the whole line."""
-    rows = _lines(docs, min_words).withColumn("value", _plain(F.col("value")))
-    rows = rows.withColumn("n", F.length("value") - F.length(F.replace("value", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= min_words)
-    return rows.select("doc_id", "body", "at", F.xxhash64("n", F.substring_index("value", " ", depth)).alias("leaf"), F.xxhash64("value").alias("line"))
+    """(doc_id, body, at, leaf, line): each line with a hash of its own, and from min_words tokens on with its leaf of the tree
+    (token count, then leading tokens)."""
+    leaf = F.when(F.col("n") >= min_words, F.xxhash64("n", F.substring_index("value", " ", depth)))
+    return _lines(docs, min_words).select("doc_id", "body", "at", leaf.alias("leaf"), _hash(F.col("value")).alias("line"))
+
+
+def _voted(tokens: DataFrame, mixed: DataFrame, similarity: float) -> DataFrame:
+    """tokens with voted: whether a line agrees with its leaf's most frequent tokens in the share similarity of them."""
+    places = tokens.select("leaf", "n", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.sum("n").alias("n"))
+    usual = places.groupBy("leaf", "place").agg(F.max(F.struct("n", "token"))["token"].alias("usual"))
+    usual = usual.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "usual"))), lambda x: x["usual"]).alias("usual"))
+    usual = stored(usual.join(mixed, "leaf"), "templates")
+    agree = F.aggregate(F.zip_with("tokens", "usual", lambda a, b: (a == b).cast("int")), F.lit(0), lambda t, x: t + x)
+    return join_hot(tokens, usual, "leaf", "n_lines").withColumn("voted", agree >= similarity * F.size("tokens")).drop("usual", "n_lines")
+
+
+def _masked(rest: DataFrame, similarity: float) -> DataFrame:
+    """Those of the lines that a vote left over which share a template: (line, n, first_doc, last_doc, template).
+
+    A token that no other line of the leaf has in its place is a field; lines that are equal but for their fields, and have
+    not too many of them, form a template. A leaf may hold any number of these."""
+    marked = rest.select("line", "leaf", F.posexplode("tokens").alias("place", "token"))
+    own = marked.groupBy("leaf", "place", "token").agg(F.count("*").alias("n_lines"), F.min("line").alias("line")).where("n_lines = 1")
+    fields = own.groupBy("line").agg(F.collect_set("place").alias("fields"))
+    known = rest.join(stored(fields, "line-fields"), "line", "left").withColumn("fields", F.coalesce("fields", F.array().cast("array<int>")))
+    known = known.where(F.size("tokens") - F.size("fields") >= similarity * F.size("tokens"))
+    mask = F.transform("tokens", lambda x, i: F.when(F.array_contains("fields", i), F.lit(FIELD)).otherwise(x))
+    return known.select("line", "n", "first_doc", "last_doc", _hash(F.col("leaf"), F.array_join(mask, " ")).alias("template"))
 
 
 def _recurring(docs: DataFrame, held: DataFrame, min_words: int, similarity: float, max_broadcast_rows: int) -> DataFrame:
     pick = F.xxhash64("doc_id", "body", "at")
     counts = (F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min(pick).alias("pick"))
     of_line = stored(held.groupBy("leaf", "line").agg(*counts), "lines")
-    mixed = stored(of_line.groupBy("leaf").agg(F.count("*").alias("n_lines")).where("n_lines > 1"), "mixed-leaves")
+    mixed = stored(of_line.where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("n_lines")).where("n_lines > 1"), "mixed-leaves")
     # Only leaves with more than one kind of line need tokens: one line of each kind shows them.
     shown = stored(join_hot(of_line, mixed, "leaf", "n_lines"), "mixed-lines")
-    tokens = _lines(docs, min_words).select(pick.alias("pick"), "value").join(small(shown, max_broadcast_rows), "pick")
-    tokens = tokens.withColumn("tokens", F.split(_plain(F.col("value")), " ")).drop("value", "pick", "n_lines")
+    texts = _lines(docs, min_words).where(F.col("n") >= min_words).select(pick.alias("pick"), "value")
+    tokens = texts.join(small(shown, max_broadcast_rows), "pick").where(_hash(F.col("value")) == F.col("line"))
+    tokens = tokens.withColumn("tokens", F.split("value", " ")).drop("value", "pick", "n_lines")
     tokens = stored(tokens.dropDuplicates(["line"]), "line-tokens")  # repeated rows have equal picks
-    places = tokens.select("leaf", "n", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.sum("n").alias("n"))
-    usual = places.groupBy("leaf", "place").agg(F.max(F.struct("n", "token"))["token"].alias("usual"))
-    usual = usual.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "usual"))), lambda x: x["usual"]).alias("usual"))
-    usual = stored(usual.join(mixed, "leaf"), "templates")
-    agree = F.aggregate(F.zip_with("tokens", "usual", lambda a, b: (a == b).cast("int")), F.lit(0), lambda t, x: t + x)
-    alike = join_hot(tokens, usual, "leaf", "n_lines").where(agree >= similarity * F.size("tokens"))
-    alike = stored(alike.select("leaf", "line", "n", "first_doc", "last_doc"), "alike-lines")
-    whole = alike.groupBy("leaf").agg(F.count("*").alias("n_lines"), F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"))
-    general = join_hot(alike.select("leaf", "line", "n"), stored(whole.where("first_doc <> last_doc"), "recurring-templates"), "leaf", "n_lines")
-    exact = of_line.where("first_doc <> last_doc").join(small(alike.select("line"), max_broadcast_rows), "line", "left_anti")
-    return exact.select("line", F.col("line").alias("template"), "first_doc", "n").unionByName(general.select("line", F.col("leaf").alias("template"), "first_doc", "n"))
+    judged = stored(_voted(tokens, mixed, similarity), "voted-lines")
+    alike = judged.where("voted").select("line", "n", "first_doc", "last_doc", _hash(F.col("leaf")).alias("template"))
+    rest = judged.where("not voted").select("leaf", "line", "n", "first_doc", "last_doc", "tokens")
+    general = stored(alike.unionByName(_masked(rest, similarity)), "template-lines")
+    whole = general.groupBy("template").agg(F.count("*").alias("n_lines"), F.min("first_doc").alias("first"), F.max("last_doc").alias("last"))
+    many = stored(whole.where("n_lines > 1"), "line-templates")
+    named = join_hot(general.select("line", "n", "template"), many, "template", "n_lines")
+    named = stored(named.select("line", "template", F.col("first").alias("first_doc"), F.col("last").alias("last_doc"), "n"), "named-lines")
+    exact = of_line.where("first_doc <> last_doc").join(small(named.select("line"), max_broadcast_rows), "line", "left_anti")
+    exact = exact.select("line", F.col("line").alias("template"), "first_doc", "n")
+    return exact.unionByName(named.where("first_doc <> last_doc").select("line", "template", "first_doc", "n"))
 
 
 def recurring_lines(docs: DataFrame, *, min_words: int = 8, depth: int = 4, similarity: float = 0.8, max_broadcast_rows: int = 200_000) -> DataFrame:
     """(line, template, first_doc, n): the lines whose template occurs in two documents or more, with the template's smallest
     doc_id and the number of times the line occurs.
 
-    Lines with the same token count and the same depth leading tokens (tokens with a digit count as
-    equal) share a leaf. A leaf's template has at each place its most frequent token; lines that agree
-    with it in at least the share similarity of their tokens take it, and its other places are variable
-    fields. Any other line is a template by itself.
+    Lines of min_words tokens or more with the same token count and the same depth leading tokens (tokens with a
+    digit count as equal) share a leaf. A leaf's first template has at each place its most frequent token; lines that
+    agree with it in at least the share similarity of their tokens take it. Among the others, a token that only one
+    line of the leaf has in its place is a field, and lines that are equal but for fields, at most the share
+    1 - similarity of their tokens, take a template. Any other line is a template by itself, and so is every line
+    of fewer than min_words tokens: too little of it would be left to tell a template by.
     """
     held = stored(_named_lines(docs, min_words, depth), "document-lines")
     return _recurring(docs, held, min_words, similarity, max_broadcast_rows)
@@ -77,26 +117,27 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 8, depth: int = 4, similari
 
     A line goes if its template (see recurring_lines) occurs in two documents or more and another
     document, the one with the smallest doc_id, holds it; there it stays, so one instance of everything
-    is left. Lines of fewer than min_words tokens are never dropped, and a document's own repetitions
+    is left. Lines without a token are never dropped, and a document's own repetitions
     are left to other rules. Null and empty texts stay as they are. Rows without a doc_id lose nothing
-    and do not count; rows with the same doc_id are parts of one document. Columns that begin with _line_ are dropped.
+    and do not count; rows with the same doc_id are parts of one document. Other columns pass through.
     """
     held = stored(_named_lines(docs, min_words, depth), "document-lines")
     found = stored(_recurring(docs, held, min_words, similarity, max_broadcast_rows).select("line", "first_doc", "n"), "recurring-lines")
     drop = join_hot(held, found, "line", "n").where("doc_id <> first_doc")
-    drop = drop.groupBy(F.col("doc_id").alias("_line_doc"), F.col("body").alias("_line_body")).agg(F.collect_set("at").alias("_line_drop"))
-    out = docs.drop("n_lines", "n_dropped", *[c for c in docs.columns if c.startswith("_line_")])
-    out = out.join(drop, (F.col("doc_id") == F.col("_line_doc")) & (F.xxhash64("text") == F.col("_line_body")), "left")
+    out = docs.drop("n_lines", "n_dropped")
+    doc, body, gone, rest = free_names(out.columns, "_line_doc", "_line_body", "_line_drop", "_line_rest")
+    drop = drop.groupBy(F.col("doc_id").alias(doc), F.col("body").alias(body)).agg(F.collect_set("at").alias(gone))
+    out = out.join(drop, (F.col("doc_id") == F.col(doc)) & (F.xxhash64("text") == F.col(body)), "left")
 
     def kept(lines: Column) -> Column:
-        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_line_drop"))
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
         return F.transform(left, lambda i: F.get(lines, i))
 
     lines = F.split("text", "\n")
-    return out.withColumn("_line_rest", F.when(F.col("_line_drop").isNotNull(), let(lines, kept))).withColumns(
+    return out.withColumn(rest, F.when(F.col(gone).isNotNull(), let(lines, kept))).withColumns(
         {
             "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"),
-            "n_dropped": F.coalesce(F.size("_line_drop"), F.lit(0)).cast("long"),
-            "text": F.when(F.col("_line_drop").isNull(), F.col("text")).otherwise(F.array_join("_line_rest", "\n")),
+            "n_dropped": F.coalesce(F.size(gone), F.lit(0)).cast("long"),
+            "text": F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(rest, "\n")),
         }
-    ).drop("_line_doc", "_line_body", "_line_drop", "_line_rest")
+    ).drop(doc, body, gone, rest)

@@ -127,16 +127,22 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)"""
 _TOKEN = r"[^\x20\x09\x0B-\x0D]+"
 ORACLES["op5_line_templates"] = f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
-k AS (SELECT doc_id, pos, list_transform(regexp_extract_all(line, '{_TOKEN}'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tokens FROM l),
-h AS (SELECT *, len(tokens) AS n, tokens[1:4] AS head FROM k WHERE len(tokens) >= 8 AND doc_id IS NOT NULL),
-o AS (SELECT n, head, tokens, count(*) AS c FROM h GROUP BY ALL),
-mixed AS (SELECT n, head FROM o GROUP BY ALL HAVING count(*) > 1),
+r AS (SELECT doc_id, pos, regexp_extract_all(line, '{_TOKEN}') AS raw FROM l WHERE doc_id IS NOT NULL),
+k AS (SELECT doc_id, pos, raw, list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS masked FROM r WHERE len(raw) > 0),
+h AS (SELECT doc_id, pos, len(raw) AS n, masked[1:4] AS head, CASE WHEN len(raw) < 8 OR len(list_filter(masked, lambda x: x <> '<*>')) = 0 THEN raw ELSE masked END AS tokens FROM k),
+o AS (SELECT n, tokens[1:4] AS head, tokens, count(*) AS c FROM h GROUP BY ALL),
+mixed AS (SELECT n, head FROM o WHERE n >= 8 GROUP BY ALL HAVING count(*) > 1),
 places AS (SELECT n, head, c, unnest(tokens) AS token, unnest(range(0, n)) AS place FROM o JOIN mixed USING (n, head)),
 votes AS (SELECT n, head, place, token, sum(c) AS v FROM places GROUP BY n, head, place, token QUALIFY row_number() OVER (PARTITION BY n, head, place ORDER BY sum(c) DESC, token DESC) = 1),
 usual AS (SELECT n, head, list(token ORDER BY place) AS usual FROM votes GROUP BY ALL),
-alike AS (SELECT tokens, n, head FROM o JOIN usual USING (n, head) WHERE len(list_filter(list_zip(tokens, usual), lambda z: z[1] = z[2])) >= 0.8 * n),
-named AS (SELECT h.*, alike.tokens IS NOT NULL AS general FROM h LEFT JOIN alike USING (tokens)),
-firsts AS (SELECT doc_id, pos, min(doc_id) OVER w AS lo FROM named WINDOW w AS (PARTITION BY general, n, head, CASE WHEN general THEN NULL ELSE tokens END)),
+judged AS (SELECT tokens, n, head, len(list_filter(list_zip(tokens, usual), lambda z: z[1] = z[2])) >= 0.8 * n AS voted FROM o JOIN usual USING (n, head)),
+spread AS (SELECT n, head, tokens, unnest(tokens) AS token, unnest(range(0, n)) AS place FROM judged WHERE NOT voted),
+marked AS (SELECT *, count(*) OVER (PARTITION BY n, head, place, token) = 1 AS field FROM spread),
+masks AS (SELECT n, head, tokens, list(CASE WHEN field THEN '<*>' ELSE token END ORDER BY place) AS mask FROM marked GROUP BY n, head, tokens HAVING n - count(*) FILTER (field) >= 0.8 * n),
+general AS (SELECT tokens, n, head, NULL AS mask FROM judged WHERE voted UNION ALL SELECT tokens, n, head, mask FROM masks),
+many AS (SELECT *, n || ' ' || array_to_string(head, ' ') || ' / ' || coalesce(array_to_string(mask, ' '), '') AS template FROM general QUALIFY count(*) OVER (PARTITION BY n, head, mask) > 1),
+named AS (SELECT h.*, coalesce(many.template, array_to_string(h.tokens, ' ')) AS template, many.tokens IS NOT NULL AS general FROM h LEFT JOIN many USING (tokens)),
+firsts AS (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY general, template) AS lo FROM named),
 gone AS (SELECT doc_id, pos FROM firsts WHERE doc_id <> lo),
 kept AS (SELECT l.doc_id, count(*) AS n_lines, count(gone.pos) AS n_dropped, coalesce(string_agg(CASE WHEN gone.pos IS NULL THEN line END, chr(10) ORDER BY l.pos), '') AS text FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.pos = l.pos GROUP BY l.doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, kept.text FROM documents d LEFT JOIN kept USING (doc_id)"""

@@ -199,7 +199,9 @@ def test_attention_without_labels(spark, docs):
 
 
 def tokens(line):
-    return tuple("<*>" if re.search("[0-9]", w) else w for w in re.findall(r"[^\x20\x09\x0B-\x0D]+", line))
+    raw = tuple(re.findall(r"[^\x20\x09\x0B-\x0D]+", line))
+    masked = tuple("<*>" if re.search("[0-9]", w) else w for w in raw)
+    return raw if len(raw) < 8 or set(masked) == {"<*>"} else masked
 
 
 def deduplicated(rows):
@@ -207,10 +209,11 @@ def deduplicated(rows):
     held, count, leaves = collections.defaultdict(set), collections.Counter(), collections.defaultdict(set)
     for i, own in lines:
         for _, t in own:
-            if len(t) >= 8:
+            if t:
                 held[t].add(i)
                 count[t] += 1
-                leaves[len(t), t[:4]].add(t)
+                if len(t) >= 8:
+                    leaves[len(t), t[:4]].add(t)
     template = {}
     for leaf, kinds in leaves.items():
         if len(kinds) > 1:
@@ -220,10 +223,18 @@ def deduplicated(rows):
                     votes[place][token] += count[t]
             usual = [max((n, x.encode()) for x, n in v.items())[1].decode() for v in votes]
             template |= {t: leaf for t in kinds if sum(a == b for a, b in zip(t, usual)) >= 0.8 * len(t)}
+            rest = [t for t in kinds if t not in template]
+            seen = collections.Counter(x for t in rest for x in enumerate(t))
+            for t in rest:
+                mask = tuple("<*>" if seen[x] == 1 else x[1] for x in enumerate(t))
+                if sum(seen[x] > 1 for x in enumerate(t)) >= 0.8 * len(t):
+                    template[t] = (leaf, mask)
+    sizes = collections.Counter(template.values())
+    template = {t: x for t, x in template.items() if sizes[x] > 1}
     whole = collections.defaultdict(set)
     for t, own in held.items():
         whole[template.get(t, t)] |= own
-    gone = lambda i, t: len(t) >= 8 and min(whole[template.get(t, t)]) != i
+    gone = lambda i, t: bool(t) and min(whole[template.get(t, t)]) != i
     return counted((i, "\n".join(x for x, t in own if not gone(i, t)), len(own), sum(gone(i, t) for _, t in own)) for i, own in lines)
 
 
@@ -242,6 +253,27 @@ def test_line_templates_edges(spark, docs):
     assert line_templates.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_short_lines_recur(spark):
+    df = spark.createDataFrame([(i, f"Accept all cookies\nbody {'x' * i}\n\n12 of 7") for i in range(1, 6)], "doc_id long, text string")
+    out = {r.doc_id: (r.text, r.n_dropped) for r in line_templates.dedup_lines(df).collect()}
+    assert out == {1: ("Accept all cookies\nbody x\n\n12 of 7", 0)} | {i: (f"body {'x' * i}\n", 2) for i in range(2, 6)}
+
+
+def test_two_templates_share_a_leaf(spark):
+    first, second = "we sell the best {} in all of the town today", "we sell the best of fruit and {} to our guests"
+    rows = [first.format(x) for x in ("bread", "wine", "cake")] * 3 + [second.format(x) for x in ("beer", "salt")]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = line_templates.dedup_lines(df).collect()
+    assert {r.doc_id for r in out if not r.n_dropped} == {0, 9}
+
+
+def test_table_rows_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "1 2 3 4 5 6 7 8", "a"), (2, "9 8 7 6 5 4 3 2", "b"), (3, "9 8 7 6 5 4 3 2", "c")], "doc_id long, text string, _line_drop string")
+    out = line_templates.dedup_lines(df)
+    assert out.columns == ["doc_id", "text", "_line_drop", "n_lines", "n_dropped"]
+    assert sorted((r.doc_id, r.n_dropped, r["_line_drop"]) for r in out.collect()) == [(1, 0, "a"), (2, 0, "b"), (3, 1, "c")]
+
+
 # url rules
 
 
