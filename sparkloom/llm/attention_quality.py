@@ -147,26 +147,32 @@ def train(bags: list[np.ndarray], labels: np.ndarray, *, passage: int, hidden: i
     return m
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_documents: int = 4_000, max_passages: int = 64, passage: int = 50) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, *, max_documents: int = 4_000, max_passages: int = 200_000, passage: int = 50) -> Model | None:
     """A Model of labels (doc_id, label 0 or 1) for docs (doc_id, text); None without both labels.
 
-    At most about max_documents labelled documents teach it: those whose hashed doc_id is smallest, by a share that the number
-    of labels sets; of a document's passages at most max_passages, evenly spread, teach it. Null ids and labels
-    teach nothing; a document with repeated rows teaches as often. What is gathered stays within these bounds.
+    A bounded sample of the labelled rows teaches it: those whose hashed doc_id is smallest, at most max_documents rows, and as
+    many of these in that order as have max_passages passages together; each teaches with all its passages.
+    Rows with more than a twentieth of max_passages are not drawn. Null ids and labels
+    teach nothing; a document with repeated rows teaches as often. Only the sample reaches the driver.
     """
     known = stored(labels.where("doc_id is not null and label in (0, 1)").select("doc_id", F.col("label").cast("int").alias("label")), "labels")
     n = known.count()
     draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
-    chosen = stored(known.where(draw < max_documents / max(n, 1)), "chosen-labels")
+    # By expectation somewhat more than are wanted; the order of the hashes then decides exactly.
+    chosen = stored(known.where(draw < 1.2 * max_documents / max(n, 1) + 20 / max(n, 1)), "chosen-labels")
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [encode(t.as_py(), passage) for t in batch.column("text")]
-            rows = [r[np.arange(min(len(r), max_passages)) * len(r) // min(len(r), max_passages)].astype(np.float32).tobytes() for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(rows, pa.binary())], ["label", "bag"])
-
-    teach = docs.select("doc_id", "text").join(small(chosen, 4 * max_documents), "doc_id")
-    rows = teach.select("label", "text").mapInArrow(bags, "label int, bag binary").collect()
+            sizes = pa.array([len(r) for r in rows], pa.int64())
+            rows = pa.array([r.astype(np.float32).tobytes() if len(r) <= max_passages // 20 else b"" for r in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("label"), sizes, rows], ["h", "label", "size", "bag"])
+
+    teach = docs.select("doc_id", "text").join(small(chosen, 4 * max_documents), "doc_id").select(F.xxhash64("doc_id").alias("h"), "label", "text")
+    bagged = stored(teach.mapInArrow(bags, "h long, label int, size long, bag binary").where(F.length("bag") > 0), "labelled-bags")
+    order = (F.shiftrightunsigned("h", 11), F.xxhash64("bag"), F.col("label"))
+    sizes = [r["size"] for r in bagged.select("size", *[c.alias(f"o{i}") for i, c in enumerate(order)]).orderBy("o0", "o1", "o2").limit(max_documents).collect()]
+    rows = bagged.orderBy(*order).limit(int((np.cumsum(sizes) <= max_passages).sum())).select("label", "bag").collect()
     rows = sorted((bytes(r["bag"]), r["label"]) for r in rows)  # in an order of their own
     y = np.array([label for _, label in rows], float)
     if not rows or y.min() == y.max():

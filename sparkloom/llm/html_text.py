@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,7 +23,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is no markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements that never hold article text; those that do only if an article lies in them; roles.
-NEVER = RAW | frozenset("head noscript template svg math canvas audio video object map button select datalist input option label dialog".split())
+NEVER = RAW | frozenset("head noscript template svg math canvas audio video object map button select datalist input option dialog".split())
 UNLESS_AROUND = frozenset("nav footer aside form header menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist status note".split())
 #: Words of class and id that mark menus, notices, adverts, forms and reader comments.
@@ -33,6 +34,10 @@ MARKED = frozenset(
     "recommended related replies reply respond responses search share sharing shoutbox sidebar sidenav signin signup skip social "
     "sponsor sponsored subscribe subscription taboola tags teaser toc toolbar topbar tracking warning widget widgets".split()
 )
+#: Those among them that mark reader comments, however long these are.
+COMMENTS = frozenset("comment comments commentlist discussion disqus replies reply respond responses".split())
+#: Words before a mark that say something of an element around the marked one.
+ABOUT = frozenset("has have no non not with without".split())
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)"
     r"((?:[\s/]++|=|[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?)?)*+)>?",
@@ -54,42 +59,45 @@ _CLOSES = {
 
 
 class _Page:
-    """The tree as parallel lists (a parent precedes its children), and its blocks: lists of (node, text)."""
+    """The tree as parallel lists (a parent precedes its children), and its blocks: lists of (node, text).
+
+    Open elements are looked up by name and by the nearest block, never by walking up, so that reading is linear in the page."""
 
     def __init__(self, source: str) -> None:
         self.tag, self.parent, self.attrs = ["#root"], [0], [""]
         self.blocks: list[tuple[int, list[tuple[int, str]]]] = []
-        self._stack, self._open, self._run = [0], Counter(), []
+        self._stack, self._block, self._run = [0], [0], []  # open elements, and the depth of the nearest block of each
+        self._depths: defaultdict[str, list[int]] = defaultdict(list)
         self._read(source)
 
     def _flush(self) -> None:
         if self._run:
-            owner = next(n for n in reversed(self._stack) if n == 0 or self.tag[n] in BLOCKS)
-            self.blocks.append((owner, self._run))
+            self.blocks.append((self._stack[self._block[-1]], self._run))
             self._run = []
 
     def _push(self, name: str, attrs: str) -> None:
         self.tag.append(name)
         self.parent.append(self._stack[-1])
         self.attrs.append(attrs)
+        depth = len(self._stack)
+        self._block.append(depth if name in BLOCKS else self._block[-1])
         self._stack.append(len(self.tag) - 1)
-        self._open[name] += 1
+        self._depths[name].append(depth)
+
+    def _cut(self, depth: int) -> None:
+        """Ends the open elements from a depth on."""
+        while len(self._stack) > depth:
+            self._depths[self.tag[self._stack.pop()]].pop()
+            self._block.pop()
 
-    def _pop(self) -> str:
-        name = self.tag[self._stack.pop()]
-        self._open[name] -= 1
-        return name
+    def _nearest(self, names: tuple[str, ...]) -> int:
+        return max((self._depths[n][-1] for n in names if self._depths[n]), default=0)
 
     def _close(self, names: tuple[str, ...], stops: tuple[str, ...]) -> None:
         """Ends the nearest open element of these names, unless a stop lies nearer."""
-        if any(self._open[n] for n in names):
-            for n in reversed(self._stack):
-                if self.tag[n] in stops:
-                    return
-                if self.tag[n] in names:
-                    while self._pop() not in names:
-                        pass
-                    return
+        depth = self._nearest(names)
+        if depth and depth > self._nearest(stops):
+            self._cut(depth)
 
     def _read(self, source: str) -> None:
         at, size = 0, len(source)
@@ -114,26 +122,36 @@ class _Page:
             self._flush()
             if name in _CLOSES:
                 self._close(*_CLOSES[name])
-            elif self._open["p"]:
+            else:
                 self._close(("p",), ("table", "td", "th", "article", "body", "button"))
         if name == "br":
             self._run.append((self._stack[-1], " "))
         self._push(name, attrs)
         if name in VOID:
-            self._pop()
+            self._cut(len(self._stack) - 1)
 
     def _end(self, name: str, attrs: str) -> None:
         block = name in BLOCKS
         if block:
             self._flush()
-        if name in VOID or not self._open[name]:
-            return
-        self._close((name,), () if block else tuple(BLOCKS))
+        depth = self._nearest((name,))
+        if name not in VOID and depth and (block or depth > self._block[-1]):
+            self._cut(depth)
+
+
+def _marked(value: str) -> frozenset[str]:
+    """The words of a class or id that mark no article text; one that only says what the element has or lacks does not count."""
+    found: set[str] = set()
+    for name in value.split():
+        own = [w.lower() for w in _WORDS.findall(name)]
+        found.update(w for before, w in zip(["", *own], own) if w in MARKED and before not in ABOUT)
+    return frozenset(found)
 
 
-def _marks(attrs: str) -> tuple[bool, bool]:
-    """Of a start tag's attributes: whether they hide the element, and whether they mark it as no article text."""
-    hides = marks = False
+def _marks(attrs: str) -> tuple[bool, bool, bool]:
+    """Of a start tag's attributes: whether they hide the element, whether they mark it as no article text, and whether the
+    mark is of reader comments."""
+    hides, roles, words = False, False, frozenset()
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -141,16 +159,61 @@ def _marks(attrs: str) -> tuple[bool, bool]:
         elif name == "style":
             hides |= "display:none" in value.replace(" ", "").lower()
         elif name == "role":
-            marks |= value.lower() in ROLES
+            roles |= value.lower() in ROLES
         elif name in ("class", "id"):
-            marks |= any(w.lower() in MARKED for w in _WORDS.findall(value))
-    return hides, marks
+            words |= _marked(value)
+    return hides, roles or bool(words), bool(words & COMMENTS)
+
+
+def _wrappers(parent: list[int], marked: list[bool], never: list[bool], comments: list[bool], prose: list[int], least: int = 250, share: float = 0.1) -> None:
+    """Takes the mark off elements that are around the text rather than beside it.
+
+    If the prose outside all marked elements is less than share of that in one of them, of at least least characters, the
+    marks would leave next to nothing of the page; so the outermost element with most of the prose loses its mark, and so on
+    inwards, until what is left unmarked suffices. Reader comments stay marked."""
+    count = len(parent)
+    children: list[list[int]] = [[] for _ in range(count)]
+    total, under = [0] * count, [False] * count
+    for n in range(1, count):
+        never[n] |= never[parent[n]]
+        children[parent[n]].append(n)
+    for n in range(count - 1, -1, -1):
+        total[n] += 0 if never[n] else prose[n]
+        if n:
+            total[parent[n]] += total[n]
+    outside = 0
+    tops: list[tuple[int, int]] = []
+
+    def add(start: int) -> None:
+        """Collects the outermost marked elements below start and the prose around them."""
+        nonlocal outside
+        stack = [start]
+        while stack:
+            n = stack.pop()
+            if never[n] or under[n]:
+                continue
+            under[n] = True
+            outside += prose[n]
+            for c in children[n]:
+                if not marked[c]:
+                    stack.append(c)
+                elif not comments[c]:
+                    heapq.heappush(tops, (-total[c], c))
+
+    add(0)
+    while tops:
+        best = heapq.heappop(tops)[1]
+        if total[best] < least or outside >= share * total[best]:
+            return
+        marked[best] = False
+        add(best)
 
 
 def main_text(source: str | None) -> str:
     """The article of a page: its blocks in order, one a line; empty if there is none.
 
-    What is hidden, marked as no article text or made up of links is left out. Every other paragraph passes points,
+    What is hidden, marked as no article text or made up of links is left out; a mark does not count on an element that
+    nearly all prose of the page lies in. Every other paragraph passes points,
     one and more for its length and commas, to the elements around it, less with each level; an element's
     sum is discounted by the share of its text that lies in links. The best element is kept, or the article or
     main element around it, with those of its siblings that score a fifth as much, and prose and headings beside it.
@@ -158,20 +221,29 @@ def main_text(source: str | None) -> str:
     page = _Page(source or "")
     tag, parent, count = page.tag, page.parent, len(page.tag)
     around = [t in ("article", "main") for t in tag]  # an article lies in it, or it is one
-    inside = list(around)
+    inside, nested = list(around), [False] * count
     for n in range(count - 1, 0, -1):
         around[parent[n]] |= around[n]
-    gone = [False] * count
+    in_link, paragraph = [False] * count, [False] * count
+    never, marked, comments = [False] * count, [False] * count, [False] * count
     for n in range(1, count):
         inside[n] |= inside[parent[n]]
-        hides, marks = _marks(page.attrs[n]) if page.attrs[n].strip() else (False, False)
+        nested[n] = nested[parent[n]] or tag[parent[n]] == "article"
+        in_link[n] = tag[n] == "a" or in_link[parent[n]]
+        paragraph[n] = tag[n] in PARAGRAPHS or tag[n] not in BLOCKS and paragraph[parent[n]]
+        hides, marks, comments[n] = _marks(page.attrs[n]) if page.attrs[n].strip() else (False, False, False)
         named = tag[n] in UNLESS_AROUND and not (tag[n] == "header" and inside[n])
-        comment = tag[n] == "article" and any(tag[a] == "article" for a in _ancestors(parent, n))
-        gone[n] = gone[parent[n]] or hides or tag[n] in NEVER or comment or (named or marks) and not around[n] and tag[n] not in ("html", "body")
-    chars, linked, links = [0] * count, [0] * count, [t == "a" for t in tag]
-    in_link = [False] * count
+        comments[n] |= tag[n] == "article" and nested[n]
+        never[n] = hides or tag[n] in NEVER or tag[n] == "label" and not paragraph[parent[n]]
+        marked[n] = tag[n] == "article" and nested[n] or (named or marks) and not around[n] and tag[n] not in ("html", "body")
+    prose = [0] * count
+    for owner, run in page.blocks:
+        prose[owner] += sum(len(t.strip()) for n, t in run if not in_link[n] and not never[n])
+    _wrappers(parent, marked, list(never), comments, prose)
+    gone = [False] * count
     for n in range(1, count):
-        in_link[n] = tag[n] == "a" or in_link[parent[n]]
+        gone[n] = gone[parent[n]] or never[n] or marked[n]
+    chars, linked, links = [0] * count, [0] * count, [t == "a" for t in tag]
     blocks: list[tuple[int, str]] = []
     for owner, run in page.blocks:
         own = [(n, t) for n, t in run if not gone[n]]
@@ -210,8 +282,8 @@ def main_text(source: str | None) -> str:
     for n in range(1, count):
         if n != best and parent[n] == parent[best] and best:
             own = " ".join(sums[n])
-            prose = tag[n] == "p" and density[n] < 0.25 and (len(own) >= 80 or own.endswith((".", "!", "?", "…")))
-            keep[n] = prose or tag[n] in HEADINGS and not linked[n] or score[n] >= max(score[best] / 5, 2)
+            prose_like = tag[n] == "p" and density[n] < 0.25 and (len(own) >= 80 or own.endswith((".", "!", "?", "…")))
+            keep[n] = prose_like or tag[n] in HEADINGS and not linked[n] or score[n] >= max(score[best] / 5, 2)
     for n in range(1, count):
         keep[n] |= keep[parent[n]]
     return "\n".join(t for n, t in blocks if keep[n])

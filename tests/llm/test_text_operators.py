@@ -189,6 +189,57 @@ def test_attention_gradient_and_weights():
     assert np.allclose(a[2:], want) and np.allclose(z[1], want @ h[2:]) and np.allclose(p[1], 1 / (1 + np.exp(-(z[1] @ m.c + 0.1))))
 
 
+def test_attention_gradient_is_that_of_the_loss(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    bags, labels = [rng.normal(size=(n, 4)) for n in (1, 3, 5)], np.array([1.0, 0.0, 1.0])
+    first = {}
+    real = aq.Model.__setattr__
+    monkeypatch.setattr(aq.Model, "__setattr__", lambda m, k, v: (first.setdefault(k, []).append(np.array(v, float)), real(m, k, v))[1])
+    rate = 1e-3
+    aq.train(bags, labels, passage=50, hidden=2, epochs=1, rate=rate, decay=0.0, batch=3, seed=5)
+    monkeypatch.undo()
+    x = np.concatenate(bags)
+    scaled = [np.clip((b - x.mean(axis=0)) / x.std(axis=0), -8, 8) for b in bags]
+
+    def loss(params):
+        m = aq.Model(np.zeros(4), np.ones(4), *[params[k] for k in ("v", "u", "w", "c", "b")])
+        p = m.parts(np.concatenate(scaled), np.array([0, 1, 4]))[-1]
+        return -(labels * np.log(p) + (1 - labels) * np.log(1 - p)).mean()
+
+    # Adam's first step moves every weight by rate against the sign of its gradient.
+    start = {k: first[k][0] for k in ("v", "u", "w", "c", "b")}
+    for k in start:
+        moved = (first[k][1] - start[k]).ravel()
+        for i in range(start[k].size):
+            around = []
+            for step in (1e-5, -1e-5):
+                p = {n: a.copy() for n, a in start.items()}
+                p[k] = p[k].ravel()
+                p[k][i] += step
+                p[k] = p[k].reshape(start[k].shape)
+                around.append(loss(p))
+            slope = (around[0] - around[1]) / 2e-5
+            if abs(slope) > 1e-6:
+                assert moved[i] == pytest.approx(-rate * np.sign(slope), rel=1e-2)
+            else:
+                assert abs(moved[i]) <= rate * 1.01
+
+
+def test_attention_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(aq, "train", lambda bags, y, **_: seen.append((len(bags), sum(map(len, bags)), max(map(len, bags)))))
+    rows = [(7, f"word {i} " * 30) for i in range(3000)] + [(i + 10, "some words. " * 50 * (1 + i % 3)) for i in range(60)] + [(500, "w " * 20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(7, 1), (500, 1), *((i + 10, i % 2) for i in range(60))], "doc_id long, label int")
+    aq.fit(docs, labels, max_documents=2000, max_passages=1500)
+    aq.fit(docs, labels, max_documents=20)
+    aq.fit(docs, labels.where("doc_id <> 7"), max_documents=2000)
+    assert seen[0][1] <= 1500 and seen[0][2] <= 75 and seen[1][0] <= 20
+    assert seen[2][2] == 400  # all passages of a long text
+
+
 def test_attention_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, label int")
     assert aq.fit(docs, none) is None
@@ -363,6 +414,41 @@ def test_language_rank_distance():
     assert ranked.tolist() == [code(g) for g, _ in sorted(want.items(), key=lambda x: (-x[1], code(x[0])))[:3]]
 
 
+def test_language_out_of_place_distance(spark):
+    """Scores and winners against the distance computed from its definition; of equal sums the first language wins."""
+    rng = random.Random(12)
+    vocab = ["".join(rng.choices("abcdeé", k=rng.randint(1, 5))) for _ in range(60)]
+    taught = [(i, " ".join(rng.choices(vocab[k * 15 : k * 15 + 25], k=40)), x) for i in range(6) for k, x in enumerate(["cc", "aa", "bb"])]
+    taught += [(99, taught[0][1], "ac"), (99, taught[3][1], "ac"), (99, taught[6][1], "ac")]
+    df = spark.createDataFrame(taught, "doc_id long, text string, lang string")
+    profiles = language_id.learn_profiles(df, size=40) | {}
+    profiles["ab"] = profiles["cc"]  # a tie
+    code = lambda g: int("".join(f"{ord(c):021b}" for c in g), 2)
+
+    def ranked(text, size):
+        line = " " + re.sub(r"[^a-zé]+", " ", (text or "").lower()).strip() + " "
+        n = collections.Counter(line[i : i + k] for k in (1, 2, 3) for i in range(len(line) - k + 1))
+        del n[" "]
+        return [code(g) for g, _ in sorted(n.items(), key=lambda x: (-x[1], code(x[0])))[:size]]
+
+    texts = [(i, " ".join(rng.choices(vocab, k=rng.randint(1, 30)))) for i in range(60)]
+    out = {r.doc_id: r for r in language_id.predict_language(spark.createDataFrame(texts, "doc_id long, text string"), profiles).collect()}
+    for i, text in texts:
+        own = ranked(text, 40)
+        costs = {x: sum(abs(p.index(g) - k) if g in p else 40 for k, g in enumerate(own)) for x, p in profiles.items()}
+        best = min(sorted(costs), key=costs.get)
+        assert (out[i].lang_pred, out[i].score) == (best, pytest.approx(1 - costs[best] / (40 * len(own))))
+    assert "cc" not in {r.lang_pred for r in out.values()}
+
+
+def test_language_of_texts_longer_than_a_part(monkeypatch):
+    text = "Un été, à la plage. " * 40 + "ß" * 7
+    whole = language_id.gram_counts(text)
+    monkeypatch.setattr(language_id, "_CHUNK", 16)
+    parts = language_id.gram_counts(text)
+    assert whole[0].tolist() == parts[0].tolist() and whole[1].tolist() == parts[1].tolist()
+
+
 # simhash
 
 
