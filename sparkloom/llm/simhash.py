@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from sparkloom.llm.common import components, join_hot, stored
+from sparkloom.llm.common import components, free_names, join_hot, small, stored
 
 SEED = 42
 _CHUNK = 1 << 16
@@ -58,22 +58,49 @@ def _hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def links(prints: DataFrame, *, max_bits: int = 3, segments: int = 2) -> DataFrame:
-    """(a, b) with a < b: all pairs of the distinct fingerprints fp that differ in max_bits bits or fewer.
+def _masks(width: int, radius: int) -> Column:
+    """All values of width bits with radius bits set or fewer: what a value is combined with for its Hamming ball."""
+    found = [sum(1 << i for i in flips) for r in range(radius + 1) for flips in combinations(range(width), r)]
+    return F.lit(found).cast("array<bigint>")
+
+
+def _bits(value: Column, start: int, width: int) -> Column:
+    return F.shiftrightunsigned(value, start).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def links(prints: DataFrame, *, max_bits: int = 3, segments: int = 2, crowded: int = 500, max_broadcast_rows: int = 200_000) -> DataFrame:
+    """(a, b) with a < b: all pairs of the distinct fingerprints fp that differ in max_bits bits or fewer, some of them twice.
 
     If the segments of a pair differ in max_bits bits in all, one of them differs in max_bits // segments
     at most. So each fingerprint asks, for every segment, for all values in that Hamming ball; a table
     of fingerprints by segment answers, and the complete distance is verified in the join. A segment of
-    32 bits holds one fingerprint in 2**32 by chance, so the lists stay short at any size.
+    32 bits holds one fingerprint in 2**32 by chance, so most lists are short at any size. A value that more than crowded
+    fingerprints have in a segment is not one list: what asks for it must also agree, by the same rule, in a half of
+    one other segment. At most 43,744 fingerprints lie within 3 bits of one, so the links grow with the
+    fingerprints, not with the square of a group.
     """
     width, radius = 64 // segments, max_bits // segments
-    low = (1 << width) - 1
-    masks = [sum(1 << i for i in flips) for r in range(radius + 1) for flips in combinations(range(width), r)]
-    parts = [F.struct(F.lit(s).alias("s"), F.shiftrightunsigned("fp", s * width).bitwiseAND(F.lit(low)).alias("v")) for s in range(segments)]
+    parts = [F.struct(F.lit(s).alias("s"), _bits(F.col("fp"), s * width, width).alias("v")) for s in range(segments)]
     by_part = prints.select("fp", F.explode(F.array(*parts)).alias("p")).select("fp", "p.s", "p.v")
-    table = by_part.select(F.col("fp").alias("b"), "s", "v").hint("shuffle_hash")
-    asked = by_part.select(F.col("fp").alias("a"), "s", F.explode(F.transform(F.lit(masks).cast("array<bigint>"), lambda m: F.col("v").bitwiseXOR(m))).alias("v"))
-    return asked.join(table, ["s", "v"]).where((F.col("a") < F.col("b")) & (_hamming(F.col("a"), F.col("b")) <= max_bits)).select("a", "b")
+    full = stored(by_part.groupBy("s", "v").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("s", "v"), "crowded-segments")
+    full = small(full, max_broadcast_rows)
+    asked = by_part.select(F.col("fp").alias("a"), "s", F.explode(F.transform(_masks(width, radius), lambda m: F.col("v").bitwiseXOR(m))).alias("v"))
+    table = by_part.withColumnRenamed("fp", "b")
+    near = (F.col("a") < F.col("b")) & (_hamming(F.col("a"), F.col("b")) <= max_bits)
+    light = asked.join(full, ["s", "v"], "left_anti").join(table.join(full, ["s", "v"], "left_anti").hint("shuffle_hash"), ["s", "v"]).where(near)
+    # The segment after s, in two halves: a pair that agrees in s differs there in max_bits bits at most, so one half does in half of them.
+    half = width // 2
+
+    def halves(fp: str) -> Column:
+        other = F.when(F.lit(False), F.lit(0).cast("long"))
+        for s in range(segments):
+            other = other.when(F.col("s") == s, _bits(F.col(fp), (s + 1) % segments * width, width))
+        return F.array(*[F.struct(F.lit(i).alias("i"), _bits(other, i * half, half).alias("w")) for i in range(2)])
+
+    asks = asked.join(full, ["s", "v"], "left_semi").select("a", "s", "v", F.explode(halves("a")).alias("h"))
+    asks = asks.select("a", "s", "v", "h.i", F.explode(F.transform(_masks(half, max_bits // 2), lambda m: F.col("h.w").bitwiseXOR(m))).alias("w"))
+    answers = table.join(full, ["s", "v"], "left_semi").select("b", "s", "v", F.explode(halves("b")).alias("h")).select("b", "s", "v", "h.*")
+    return light.select("a", "b").unionByName(asks.join(answers, ["s", "v", "i", "w"]).where(near).select("a", "b"))
 
 
 def classes(prints: DataFrame, max_bits: int = 3, segments: int = 2) -> DataFrame:
@@ -112,20 +139,19 @@ def near_duplicates(docs: DataFrame, *, max_bits: int = 3, segments: int = 2) ->
 def one_of_each(docs: DataFrame, *, max_bits: int = 3, segments: int = 2) -> DataFrame:
     """The rows of docs that stay when of each group of near-duplicates one row does: that with the smallest doc_id.
 
-    Of repeated rows and of rows without a doc_id, which come last, any one stays. Columns named _fp or _row are
-    dropped; the others pass through unchanged."""
-    docs = docs.drop("_fp", "_row")
-    schema = StructType([*docs.schema, StructField("_fp", LongType())])
+    Of repeated rows and of rows without a doc_id, which come last, any one stays. All columns pass through unchanged."""
+    fp, row = free_names(docs.columns, "_fp", "_row")
+    schema = StructType([*docs.schema, StructField(fp, LongType())])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [fingerprint(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.int64())], [*batch.schema.names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.int64())], [*batch.schema.names, fp])
 
     rows = docs.mapInArrow(add, schema)
-    rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "rows-with-fingerprints")
-    by_class = classes(rows.select(F.col("_fp").alias("fp"), "doc_id"), max_bits, segments)
-    roots = join_hot(rows.select(F.col("_fp").alias("fp"), "_row", "doc_id"), by_class.select("fp", "n", "root"), "fp", "n")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    keep = roots.groupBy("root").agg(F.min(order)["_row"].alias("_row")).select("_row")
-    return rows.join(keep, "_row", "left_semi").drop("_fp", "_row")
+    rows = stored(rows.withColumn(row, F.monotonically_increasing_id()), "rows-with-fingerprints")
+    by_class = classes(rows.select(F.col(fp).alias("fp"), "doc_id"), max_bits, segments)
+    roots = join_hot(rows.select(F.col(fp).alias("fp"), F.col(row).alias("row"), "doc_id"), by_class.select("fp", "n", "root"), "fp", "n")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    keep = roots.groupBy("root").agg(F.min(order)["row"].alias(row)).select(row)
+    return rows.join(keep, row, "left_semi").drop(fp, row)

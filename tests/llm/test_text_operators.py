@@ -498,11 +498,24 @@ def test_simhash_links(spark):
     signed = lambda p: p - (1 << 64) if p >> 63 else p
     df = spark.createDataFrame([(signed(p),) for p in prints], "fp long")
     got = {(r.a, r.b) for r in simhash.links(df).collect()}
+    assert got == {(r.a, r.b) for r in simhash.links(df, crowded=2).collect()}
     ps = sorted(map(signed, prints))
     want = {(a, b) for i, a in enumerate(ps) for b in ps[i + 1 :] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 3}
     assert got == want and len(want) >= 100
 
 
+def test_simhash_links_with_common_halves(spark):
+    """Many fingerprints share a half, exactly or but for a bit, so that one value of a segment is crowded."""
+    rng = random.Random(19)
+    prints = {(0xABCD1234 ^ (1 << rng.randrange(40) & 0xFFFFFFFF)) << 32 | rng.choice([rng.getrandbits(32), rng.getrandbits(6), 0xF0F0 << rng.randrange(8)]) for _ in range(900)}
+    prints |= {rng.getrandbits(32) << 32 | 0x7777AAAA for _ in range(600)}
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    ps = sorted(map(signed, prints))
+    want = {(a, b) for i, a in enumerate(ps) for b in ps[i + 1 :] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 3}
+    df = spark.createDataFrame([(p,) for p in ps], "fp long")
+    assert {(r.a, r.b) for r in simhash.links(df, crowded=50).collect()} == want and len(want) > 500
+
+
 def test_simhash_one_of_each(spark, docs, rows):
     want = groups(rows)
     kept = simhash.one_of_each(docs)
