@@ -92,11 +92,16 @@ def shared_dir(spark: SparkSession) -> str:
 _SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
+def folder_for(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, or below that of the scratch() around."""
+    return f"{_SCRATCH.get() or shared_dir(spark) + '/sparkloom'}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends there, and what was
     computed outlives lost executors."""
     spark = df.sparkSession
-    path = f"{_SCRATCH.get() or shared_dir(spark) + '/sparkloom'}/{name}-{uuid.uuid4().hex}"
+    path = folder_for(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -111,7 +116,7 @@ def discard(spark: SparkSession, path: str) -> None:
 def scratch(spark: SparkSession, name: str) -> Iterator[str]:
     """A folder for everything that stored() writes within the block. It goes with the block, so results that
     outlive it must be written elsewhere first."""
-    path = f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
+    path = folder_for(spark, name)
     token = _SCRATCH.set(path)
     try:
         yield path
