@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators.ranking import average_rank, cumulative_counts, quantiles
+from sparkloom.operators.ranking import MAX_GROUPS, average_rank, cumulative_counts, quantiles, quantiles_of
+from sparkloom.sources.shared import few, stored
 
 
 def to_long(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
@@ -31,9 +32,10 @@ def describe_with_total(long: DataFrame, label: str) -> DataFrame:
 
 def median_deviation(long: DataFrame, by: list[str], value: str = "x") -> DataFrame:
     """(*by, iqr, mad): interquartile range, and the median distance from the median, unscaled."""
-    q = quantiles(long, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    away = long.join(q, by).withColumn("_away", F.abs(F.col(value) - F.col("median")))
-    mad = quantiles(away, by, "_away", {"mad": 0.5})
+    counted = stored(cumulative_counts(long, by, value), "running-counts")
+    q = stored(quantiles_of(counted, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}), "group-medians")
+    away = counted.join(few(q, MAX_GROUPS), by).withColumn("_away", F.abs(F.col(value) - F.col("median")))
+    mad = quantiles_of(cumulative_counts(away, by, "_away", weight="n"), by, "_away", {"mad": 0.5})
     return q.join(mad, by).select(*by, (F.col("q3") - F.col("q1")).alias("iqr"), "mad")
 
 

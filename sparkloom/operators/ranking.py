@@ -5,25 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.sources.shared import few, stored
 
-def cumulative_counts(df: DataFrame, by: list[str], value: str, sums: dict[str, Column] | None = None, buckets: int = 64) -> DataFrame:
-    """(*by, value, n, *sums, before, total): each distinct value of each group with its number of rows, the number of rows
-    with smaller values, and the group's rows. Null values do not count; NaN is the largest value.
 
-    Equal values are summed before anything is sorted. Each group's values are then parted at approximate
-    quantiles, and running sums go over parts and, within each part, over its values: however large a group is,
-    only one of its buckets is sorted in a task. The result does not depend on where the parts are cut."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"), *[F.sum(c).alias(name) for name, c in (sums or {}).items()])
+#: At most so many groups have their quantiles, and parts their sums, sent to all tasks.
+MAX_GROUPS = 10_000
+#: So many distinct values of a group are sorted in one task, about.
+PART = 1_000_000
+
+
+def cumulative_counts(df: DataFrame, by: list[str], value: str, sums: dict[str, Column] | None = None, *, weight: str | None = None, buckets: int = 64) -> DataFrame:
+    """(*by, value, n, *sums, before, total): each distinct value of each group with its number of rows (or their sum of weight), the
+    number of rows with smaller values, and the group's rows. Null values and groups do not count; NaN is the largest value.
+
+    The source is read once: equal values are summed before anything else and the sums are stored. Each group's values are
+    then parted at approximate quantiles, buckets of them or as many as keep a part near PART values. These quantiles, a row a group,
+    go to all tasks, and running sums go over parts and, within each part, over its values: however large a group is,
+    its values are never dealt by group, and only one part is sorted in a task. The result does not depend on the cuts."""
+    n = F.count("*") if weight is None else F.sum(weight)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("n"), *[F.sum(c).alias(name) for name, c in (sums or {}).items()])
+    counts = stored(counts, "distinct-values")
+    largest = counts.groupBy(*by).agg(F.count("*").alias("d")).agg(F.max("d")).first()[0] or 0
+    buckets = max(buckets, -(-largest // PART))
     cuts = [i / buckets for i in range(1, buckets)]
-    edges = counts.groupBy(*by).agg(F.percentile_approx(value, cuts, 10 * buckets).alias("_edges"))
+    edges = few(stored(counts.groupBy(*by).agg(F.percentile_approx(value, cuts, 10 * buckets).alias("_edges")), "group-quantiles"), MAX_GROUPS)
     parted = counts.join(edges, by).withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
-    parts = parted.groupBy(*by, "_part").agg(F.sum("n").alias("_n"))
     group = Window.partitionBy(*by)
     below = F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parted.groupBy(*by, "_part").agg(F.sum("n").alias("_n"))
     parts = parts.select(*by, "_part", F.coalesce(below, F.lit(0)).alias("_below"), F.sum("_n").over(group).alias("total"))
     inner = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    out = parted.join(parts, [*by, "_part"]).withColumn("before", F.col("_below") + F.coalesce(F.sum("n").over(inner), F.lit(0)))
-    return out.drop("_part", "_below")
+    inside = parted.withColumn("_inside", F.coalesce(F.sum("n").over(inner), F.lit(0)))
+    out = inside.join(few(stored(parts, "group-parts"), MAX_GROUPS * buckets), [*by, "_part"]).withColumn("before", F.col("_below") + F.col("_inside"))
+    return out.drop("_part", "_below", "_inside")
 
 
 def average_rank(descending: bool = False) -> Column:
@@ -50,7 +64,11 @@ def average_ranks(df: DataFrame, by: list[str], value: str, *, descending: bool
 
 def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """(*by, *shares): exact quantiles of each group with linear interpolation, from running counts."""
-    counted = cumulative_counts(df, by, value)
+    return quantiles_of(cumulative_counts(df, by, value), by, value, shares)
+
+
+def quantiles_of(counted: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """quantiles() from the result of cumulative_counts."""
 
     def at(place: Column) -> Column:
         return F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("n")), F.col(value)))
