@@ -5,9 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions.expressions import close
+
 
 @dataclass(frozen=True)
 class Check:
@@ -68,3 +70,112 @@ def mismatches(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataF
     left, right = a.select(*keys, F.col(value).alias("left")), b.select(*keys, F.col(value).alias("right"))
     out = left.join(right, keys, "full_outer").withColumns({"left": F.coalesce("left", F.lit(0)), "right": F.coalesce("right", F.lit(0))})
     return out.where(F.col("left") != F.col("right"))
+
+
+#: Keywords of the static scan. Those of splitting and fitting are judged by what surrounds them.
+STATIC_KEYWORDS = [
+    "fit_transform", "StandardScaler(", "PCA(", "SelectKBest", "SMOTE", "train_test_split", "cross_val_score", "GridSearchCV", "LogisticRegressionCV", "permutation_importance", "GroupKFold", "StratifiedGroupKFold",
+    ".groupby(", "id", "ID", "Recording", "sex_male", "gender", "Gender", "class", "Status", "cluster", "stage5_cluster", "stage6_cluster",
+]
+#: Keywords that need review wherever they stand, unless a line says that they are not used.
+REVIEWED = ["SMOTE", "SelectKBest", "cross_val_score", "GridSearchCV"]
+FITTED = ["StandardScaler(", "PCA(", "fit_transform"]
+LABELS = ["class", "Status", "cluster", "stage5_cluster", "stage6_cluster"]
+#: Words nearby that show a label column in validation or description, and as a target.
+EXCUSES = ["excluded", "not enter", "不进入", "metadata", "required", "post", "crosstab", "assignments", "audit"]
+TARGETS = ["y =", "labels", "label"]
+#: What shows that a report does not claim a clinical meaning.
+GUARDS = ["not a clinical", "not clinical", "cannot", "不能", "不是", "不对应", "不直接", "而非"]
+
+
+def _any(text: Column, words: list[str]) -> Column:
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+
+
+def classify_static(lines: DataFrame, *, supervised: list[str], keywords: list[str] = STATIC_KEYWORDS, near: int = 3, far: int = 12) -> DataFrame:
+    """(file, line_no, keyword, status, needs_fix): the lines (file, line_no, line) that hold a keyword, judged by the lines around.
+
+    A split by rows fails unless the line says it is not used. Fitted preprocessing is safe in the supervised files within a pipeline, else a
+    warning. A cross-validated model is safe near a pipeline. Label columns that stand near a target are a
+    warning unless something nearby excuses them. Neighbours come from windows over a file's lines, so files meet line by line."""
+    w = Window.partitionBy("file").orderBy("line_no")
+    around = lambda r: F.array_join(F.collect_list("line").over(w.rowsBetween(-r, r)), "\n")
+    hits = F.filter(F.array(*[F.when(F.col("line").contains(k), F.lit(k)) for k in keywords]), lambda x: x.isNotNull())
+    rows = lines.select("file", "line_no", F.trim("line").alias("line"), F.lower(around(near)).alias("near"), around(far).alias("far"), hits.alias("hits")).where(F.size("hits") > 0)
+    rows = rows.withColumn("keyword", F.explode("hits"))
+    k, line, refused = F.col("keyword"), F.col("line"), F.col("line").startswith("- No")
+    piped = (k == "PCA(") | line.contains("Pipeline") | line.contains("scaler")
+    status = (
+        F.when(k.isin(REVIEWED), F.when(refused, "safe").otherwise("warning"))
+        .when(k == "train_test_split", F.when(refused | line.contains("No row-wise random"), "safe").otherwise("fail"))
+        .when(k.isin(FITTED), F.when(F.col("file").isin(supervised) & piped, "safe").otherwise("warning"))
+        .when(k == "LogisticRegressionCV", F.when(F.col("far").contains("Pipeline"), "safe").otherwise("warning"))
+        .when(k.isin(LABELS), F.when(_any(F.col("near"), EXCUSES), "safe").when(_any(F.col("near"), TARGETS), "warning").otherwise("safe"))
+        .otherwise("safe")
+    )
+    return rows.select("file", "line_no", "keyword", status.alias("status"), F.when(status == "fail", "yes").otherwise("no").alias("needs_fix"))
+
+
+def report_boundary(reports: DataFrame, phrase: str, terms: list[str], guards: list[str] = GUARDS) -> DataFrame:
+    """(file, check_name, observed, status) of reports (file, text): whether each names its classifier by the phrase, uses a term
+    without a guard, or holds replacement characters."""
+    lower = F.lower("text")
+    named, used = lower.contains(phrase.lower()), F.filter(F.array(*[F.lit(t.lower()) for t in terms]), lambda t: F.contains(lower, t))
+    broken = F.length("text") - F.length(F.replace("text", F.lit("�"), F.lit("")))
+    rows = [
+        ("names the classifier", F.when(named, "found").otherwise("missing"), F.when(named, "pass").otherwise("warning")),
+        ("no unguarded terms", F.when(F.size(used) > 0, F.array_join(used, "; ")).otherwise("none"), F.when((F.size(used) == 0) | _any(F.col("text"), guards), "pass").otherwise("fail")),
+        ("replacement characters", broken.cast("string"), F.when(broken > 0, "warning").otherwise("pass")),
+    ]
+    checks = F.array(*[F.struct(F.lit(n).alias("check_name"), o.alias("observed"), s.alias("status")) for n, o, s in rows])
+    return reports.select("file", F.explode(checks).alias("c")).select("file", "c.*")
+
+
+def table_suite(stage: str, columns: list[str], key: str, *, n_rows: int | None = None, n_keys: int | None = None) -> list[Check]:
+    """Checks of a prepared table: its rows and subjects, missing values, and rows that are repeated as a whole."""
+    out = [Check(stage, f"missing {c}", F.count_if(F.col(c).isNull()), F.col("value") == 0, "0") for c in columns]
+    hashed = F.xxhash64(*columns)
+    out.append(Check(stage, "repeated rows", F.count("*") - F.count_distinct(hashed), F.col("value") == 0, "0", "warning"))
+    if n_rows is not None:
+        out.append(equals(stage, "rows", F.count("*"), n_rows))
+    if n_keys is not None:
+        out.append(equals(stage, "subjects", F.count_distinct(key), n_keys))
+    return out
+
+
+def summary_suite(given: DataFrame, again: DataFrame, keys: list[str], value: str, tolerance: float = 1e-10) -> DataFrame:
+    """(n, n_differing, status): a published summary against the same recomputed; missing equals missing."""
+    left, right = given.select(*keys, F.col(value).alias("a")), again.select(*keys, F.col(value).alias("b"))
+    off = left.join(right, keys, "full_outer").agg(F.count("*").alias("n"), F.count_if(~close(F.col("a"), F.col("b"), tolerance)).alias("n_differing"))
+    return off.withColumn("status", F.when(F.col("n_differing") == 0, "pass").otherwise("fail"))
+
+
+def fold_suite(stage: str, k: int) -> list[Check]:
+    """Checks of a fold audit: as many folds as declared, none with a subject on both sides, each with both classes in its test."""
+    return [
+        equals(stage, "folds", F.count("*"), k),
+        equals(stage, "subjects on both sides", F.sum("overlap"), 0),
+        Check(stage, "test folds of one class", F.count_if((F.col("test_positive") == 0) | (F.col("test_positive") == F.col("test_subjects"))), F.col("value") == 0, "0"),
+    ]
+
+
+def ranking_suite(stage: str, n: int, ranks: list[str]) -> list[Check]:
+    """Checks of a ranking: its rows, places without gaps, ranks within bounds and in the order of mean_rank."""
+    inside = F.lit(True)
+    for r in ranks:
+        inside = inside & F.coalesce(F.col(r).between(1, n), F.lit(True))
+    return [
+        equals(stage, "rows", F.count("*"), n),
+        Check(stage, "places", F.count_distinct("place") - F.max("place"), F.col("value") == 0, "0"),
+        Check(stage, "ranks out of bounds", F.count_if(~inside), F.col("value") == 0, "0"),
+    ]
+
+
+def cluster_suite(stage: str, k: int, n: int, least: int) -> list[Check]:
+    """Checks of an assignment table (id, cluster, cluster_size): subjects, clusters, repeated ids and small clusters (a warning)."""
+    return [
+        equals(stage, "subjects", F.count("*"), n),
+        equals(stage, "clusters", F.count_distinct("cluster"), k),
+        Check(stage, "repeated ids", F.count("*") - F.count_distinct("id"), F.col("value") == 0, "0"),
+        Check(stage, f"clusters under {least}", F.count_distinct(F.when(F.col("cluster_size") < least, F.col("cluster"))), F.col("value") == 0, "0", "warning"),
+    ]

@@ -99,3 +99,17 @@ def feature_audit(long: DataFrame, tolerance: float = 1e-12) -> DataFrame:
 def running_ranks(long: DataFrame) -> DataFrame:
     """(feature, x, n, rank): the average rank of each distinct value of each feature."""
     return cumulative_counts(long, ["feature"], "x").select("feature", "x", "n", average_rank().alias("rank"))
+
+
+def audit_summary(audit: DataFrame) -> DataFrame:
+    """(n_features, n_missing, n_constant, n_near_constant, flagged) of a feature_audit: one row, with the names of the near-constant ones."""
+    names = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("is_near_constant"), F.col("feature")))), lambda x: x.cast("string")), "; ")
+    return audit.agg(
+        F.count("*").alias("n_features"), F.coalesce(F.sum("n_missing"), F.lit(0)).alias("n_missing"), F.count_if("is_constant").alias("n_constant"), F.count_if("is_near_constant").alias("n_near_constant"), names.alias("flagged"),
+    )
+
+
+def label_distribution(records: DataFrame, key: str, label: str) -> DataFrame:
+    """(label, n_subjects, n_records): subjects count once, with the label that their records share."""
+    per = records.groupBy(key).agg(F.min(label).alias(label), F.count("*").alias("r"))
+    return per.groupBy(label).agg(F.count("*").alias("n_subjects"), F.sum("r").alias("n_records"))

@@ -19,11 +19,15 @@ def confusion(df: DataFrame, by: list[str], y: str, score: str, threshold: float
 
 
 def binary_metrics(cells: DataFrame) -> DataFrame:
-    """cells with accuracy, balanced_accuracy, sensitivity, specificity, precision and f1; 0 / 0 gives 0."""
+    """cells with accuracy, balanced_accuracy, sensitivity, specificity, precision and f1.
+
+    Without rows of a class its share of hits, sensitivity or specificity, is missing (null), which fold_summary skips, and balanced
+    accuracy is that of the other class. Precision and f1 are 0 for 0 / 0."""
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
     ratio = lambda a, b: F.coalesce(share(a, b), F.lit(0.0))
-    out = cells.withColumns({"accuracy": ratio(tp + tn, F.col("n")), "sensitivity": ratio(tp, tp + fn), "specificity": ratio(tn, tn + fp), "precision": ratio(tp, tp + fp), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
-    return out.withColumn("balanced_accuracy", (F.col("sensitivity") + F.col("specificity")) / 2)
+    out = cells.withColumns({"accuracy": ratio(tp + tn, F.col("n")), "sensitivity": share(tp, tp + fn), "specificity": share(tn, tn + fp), "precision": ratio(tp, tp + fp), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
+    both = F.array_compact(F.array("sensitivity", "specificity"))
+    return out.withColumn("balanced_accuracy", F.aggregate(both, F.lit(0.0), lambda t, x: t + x) / F.nullif(F.size(both), F.lit(0)))
 
 
 def auc(df: DataFrame, by: list[str], y: str, score: str) -> DataFrame:
@@ -46,25 +50,28 @@ def fold_summary(df: DataFrame, by: list[str], metrics: list[str], *, sample: bo
     return long.groupBy(*by, "metric").agg(F.avg(v).alias("mean"), (F.stddev_samp(v) if sample else F.stddev_pop(v)).alias("std"))
 
 
-def confusion_long(df: DataFrame, y: str, predicted: str, labels: list[int]) -> DataFrame:
-    """(true, predicted, n): all label pairs, zero cells included."""
-    spark = df.sparkSession
-    grid = spark.createDataFrame([(a, b) for a in labels for b in labels], "true int, predicted int")
-    cells = df.groupBy(F.col(y).cast("int").alias("true"), F.col(predicted).cast("int").alias("predicted")).agg(F.count("*").alias("n"))
-    return grid.join(cells, ["true", "predicted"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+def confusion_long(df: DataFrame, y: str, predicted: str, labels: list[int], by: list[str] | None = None) -> DataFrame:
+    """(*by, true, predicted, n): all label pairs of each group, zero cells included."""
+    by = by or []
+    pairs = F.array(*[F.struct(F.lit(a).alias("true"), F.lit(b).alias("predicted")) for a in labels for b in labels])
+    cells = df.groupBy(*by, F.col(y).cast("int").alias("true"), F.col(predicted).cast("int").alias("predicted")).agg(F.count("*").alias("n"))
+    groups = cells.select(*by).distinct() if by else df.sparkSession.range(1)
+    zeros = groups.select(*by, F.explode(pairs).alias("p")).select(*by, "p.*", F.lit(0).cast("long").alias("n"))
+    return cells.unionByName(zeros).groupBy(*by, "true", "predicted").agg(F.sum("n").alias("n"))
 
 
-def multiclass_metrics(cells: DataFrame) -> DataFrame:
-    """(accuracy, balanced_accuracy, f1_macro, f1_weighted, precision_macro, recall_macro) of a long confusion table.
+def multiclass_metrics(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(*by, accuracy, balanced_accuracy, f1_macro, f1_weighted, precision_macro, recall_macro) of a long confusion table.
 
-    Classes that are neither true nor predicted anywhere do not count; 0 / 0 gives 0."""
+    Groups are judged apart. Classes that are neither true nor predicted anywhere do not count; 0 / 0 gives 0."""
     sides = F.array(F.struct(F.col("true").alias("c"), F.lit(1).alias("is_true"), F.lit(0).alias("is_predicted")), F.struct(F.col("predicted").alias("c"), F.lit(0).alias("is_true"), F.lit(1).alias("is_predicted")))
-    rows = cells.select("n", (F.col("true") == F.col("predicted")).alias("same"), F.explode(sides).alias("s")).select("n", "same", "s.*")
+    by = by or []
+    rows = cells.select(*by, "n", (F.col("true") == F.col("predicted")).alias("same"), F.explode(sides).alias("s")).select(*by, "n", "same", "s.*")
     n = F.col("n")
-    per = rows.groupBy("c").agg(F.sum(n * F.col("is_true")).alias("support"), F.sum(n * F.col("is_predicted")).alias("called"), F.sum(F.when(F.col("same"), n * F.col("is_true")).otherwise(0)).alias("hits"))
+    per = rows.groupBy(*by, "c").agg(F.sum(n * F.col("is_true")).alias("support"), F.sum(n * F.col("is_predicted")).alias("called"), F.sum(F.when(F.col("same"), n * F.col("is_true")).otherwise(0)).alias("hits"))
     ratio = lambda a, b: F.coalesce(share(a, b), F.lit(0.0))
     per = per.where("support + called > 0").withColumns({"recall": ratio(F.col("hits"), F.col("support")), "precision": ratio(F.col("hits"), F.col("called")), "f1": ratio(2 * F.col("hits"), F.col("support") + F.col("called"))})
-    return per.agg(
+    return per.groupBy(*by).agg(
         share(F.sum("hits"), F.sum("support")).alias("accuracy"),
         F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"),
         F.avg("f1").alias("f1_macro"),

@@ -87,3 +87,11 @@ def contrasts(long: DataFrame, label: str, n: int = 10) -> DataFrame:
     rows = profiles(long, label).withColumn("contrast", gap).withColumn("direction", F.when(gap > 0, "higher").otherwise("lower"))
     order = F.desc(F.round(F.abs("contrast"), 9))
     return top_n_each(rows, [label], [order, F.asc("feature")], n)
+
+
+def collapsed_agreement(df: DataFrame, coarse: str, fine: str) -> DataFrame:
+    """(n, collapsed_ari): the agreement of two partitions when each fine cluster becomes the coarse one that most of it lies in."""
+    cells = contingency(df, fine, coarse)
+    most = majority(cells).select("a", F.col("b").alias("c"))
+    merged = cells.join(F.broadcast(most), "a").groupBy(F.col("b").alias("a"), F.col("c").alias("b")).agg(F.sum("n").alias("n"))
+    return agreement(merged).select("n", F.col("ari").alias("collapsed_ari"))

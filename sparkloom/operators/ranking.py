@@ -104,3 +104,15 @@ def mean_rank(ranks: list[str]) -> Column:
     """The mean of several rank columns, nulls skipped."""
     have = [F.when(F.col(r).isNotNull(), 1).otherwise(0) for r in ranks]
     return sum((F.coalesce(F.col(r), F.lit(0.0)) for r in ranks), F.lit(0.0)) / F.nullif(sum(have, F.lit(0)), F.lit(0))
+
+
+def rank_evidence(features: DataFrame, evidence: dict[str, DataFrame], tops: list[int]) -> DataFrame:
+    """features (feature) with each evidence (feature, name), its rank_name (largest first, missing last), mean_rank over all, place and
+    top flags. The tables have a row a feature; each joins by it, and features without an evidence stay."""
+    out = features.withColumn("_all", F.lit(0))
+    for name, table in evidence.items():
+        out = out.join(table.select("feature", F.round(name, 9).alias(name)), "feature", "left")
+    out = out.select("*", *[average_rank_over(F.col(n), ["_all"], descending=True).alias(f"rank_{n}") for n in evidence])
+    out = out.withColumn("mean_rank", F.round(mean_rank([f"rank_{n}" for n in evidence]), 6))
+    out = out.withColumn("place", F.row_number().over(Window.partitionBy("_all").orderBy("mean_rank", "feature"))).drop("_all")
+    return out.select("*", *[(F.col("place") <= n).alias(f"top{n}") for n in tops])

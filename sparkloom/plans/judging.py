@@ -24,7 +24,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CONF = """count(*) AS n, count(*) FILTER (y = 0 AND score < 0.5) AS tn, count(*) FILTER (y = 0 AND score >= 0.5) AS fp, count(*) FILTER (y = 1 AND score < 0.5) AS fn, count(*) FILTER (y = 1 AND score >= 0.5) AS tp"""
-_MET = """SELECT *, coalesce((tp + tn) / nullif(n, 0), 0) AS accuracy, coalesce(tp / nullif(tp + fn, 0), 0) AS sensitivity, coalesce(tn / nullif(tn + fp, 0), 0) AS specificity,
+_MET = """SELECT *, coalesce((tp + tn) / nullif(n, 0), 0) AS accuracy, tp / nullif(tp + fn, 0) AS sensitivity, tn / nullif(tn + fp, 0) AS specificity,
   coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM c"""
 _NAMES = ["accuracy", "sensitivity", "specificity", "precision", "f1", "balanced_accuracy"]
 
@@ -39,7 +39,7 @@ def confusion_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.confusion(_scored(spark, sf_dir), ["fold"], "y", "score").agg(*[F.sum(c).alias(c) for c in ("n", "tn", "fp", "fn", "tp")])
 
 
-_BINARY = f"{_SCORED}, c AS (SELECT fold, {_CONF} FROM scored GROUP BY fold), m AS (SELECT *, (sensitivity + specificity) / 2 AS balanced_accuracy FROM ({_MET}))"
+_BINARY = f"{_SCORED}, c AS (SELECT fold, {_CONF} FROM scored GROUP BY fold), m AS (SELECT *, coalesce((sensitivity + specificity) / 2, sensitivity, specificity) AS balanced_accuracy FROM ({_MET}))"
 
 
 @query(f"WITH {_BINARY} SELECT fold, n, tn, fp, fn, tp, " + ", ".join(f"round({m}, 6) AS {m}" for m in _NAMES) + " FROM m")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.expressions import direction, minus_log10, zscore
 from sparkloom.operators import stats as S
-from sparkloom.operators.ranking import adjust_fdr, average_rank_over, average_ranks, mean_rank, top_n_each
+from sparkloom.operators.describe import feature_audit
+from sparkloom.operators.ranking import adjust_fdr, average_rank_over, average_ranks, mean_rank, rank_evidence, top_n_each
 from sparkloom.plans.registry import LONG, embedding_long, query, rounded
 
 #: (label < 5) is the positive class of the embeddings.
@@ -114,3 +115,35 @@ def mean_rank_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = e.withColumn("mean_rank", F.round(mean_rank(["rank_a", "rank_b", "rank_c"]), 6)).withColumn("rank_score", 1 / mean_rank(["rank_a", "rank_b", "rank_c"]))
     top = top_n_each(ranked, ["all"], [F.asc("mean_rank"), F.asc("feature")], 20)
     return rounded(top.select("feature", "rank_a", "rank_b", "rank_c", "mean_rank", "rank_score", "place"))
+
+
+_RANKS = f"""{_U}, {_M}, e AS (SELECT feature, round(abs(z), 9) AS u, round(abs({_D}), 9) AS d, round(abs(cliffs_delta), 9) AS delta FROM m JOIN mw USING (feature)),
+a AS (SELECT feature, stddev_pop(x) <= 0.2 AS near_constant FROM long GROUP BY feature),
+r AS (SELECT feature, {_ONE.format(v='u')} AS rank_u, {_ONE.format(v='d')} AS rank_d, {_ONE.format(v='delta')} AS rank_delta FROM e),
+k AS (SELECT *, round((rank_u + rank_d + rank_delta) / 3, 6) AS mean_rank, row_number() OVER (ORDER BY round((rank_u + rank_d + rank_delta) / 3, 6), feature) AS place FROM r)"""
+
+
+@query(f"WITH {_RANKS} SELECT feature, rank_u, rank_d, rank_delta, mean_rank, place, place <= 10 AS top10, place <= 20 AS top20, place <= 50 AS top50, near_constant, u > 3 AS u_positive FROM k JOIN a USING (feature) JOIN e USING (feature)")
+def evidence_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence tables joined to the features, ranked, averaged and flagged; the audit of the features joins last."""
+    long = embedding_long(spark, sf_dir)
+    evidence = {"u": S.mann_whitney(long, _positive(), p_values=False).select("feature", F.abs("z").alias("u")), "d": S.cohens_d(long, _positive()).select("feature", F.abs("cohens_d").alias("d"))}
+    evidence["delta"] = S.mann_whitney(long, _positive(), p_values=False).select("feature", F.abs("cliffs_delta").alias("delta"))
+    features = long.select("feature").distinct()
+    ranked = rank_evidence(features, evidence, [10, 20, 50])
+    audit = feature_audit(long, tolerance=0.2).select("feature", F.col("is_near_constant").alias("near_constant"))
+    out = ranked.join(audit, "feature", "left").withColumn("u_positive", F.coalesce(F.col("u") > 3, F.lit(False)))
+    return rounded(out.drop("u", "d", "delta"))
+
+
+_DIFF = f"""{LONG}, c AS (SELECT *, label % 2 AS g FROM long), m AS (SELECT feature, avg(x) AS m, stddev_pop(x) AS s, avg(x) FILTER (g = 0) AS mean_0, avg(x) FILTER (g = 1) AS mean_1, var_samp(x) FILTER (g = 0) AS v0, var_samp(x) FILTER (g = 1) AS v1,
+  count(*) FILTER (g = 0) AS n0, count(*) FILTER (g = 1) AS n1 FROM c GROUP BY feature),
+rk AS (SELECT feature, g, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS r FROM c), u AS (SELECT feature, sum(r) FILTER (g = 1) AS r1 FROM rk GROUP BY feature),
+d AS (SELECT feature, mean_0, mean_1, mean_1 - mean_0 AS mean_difference, (mean_0 - m) / s AS z_mean_0, (mean_1 - m) / s AS z_mean_1, (mean_1 - mean_0) / s AS z_difference, (mean_1 - mean_0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)) AS cohens_d, r1 - n1 * (n1 + 1) / 2.0 AS u FROM m JOIN u USING (feature))"""
+
+
+@query(f"""WITH {_DIFF} SELECT feature, 'Other' AS category, round(mean_0, 6) AS mean_0, round(mean_1, 6) AS mean_1, round(mean_difference, 6) AS mean_difference, round(z_mean_0, 6) AS z_mean_0, round(z_mean_1, 6) AS z_mean_1, round(z_difference, 6) AS z_difference,
+  round(cohens_d, 6) AS cohens_d, round(u, 6) AS u, round(abs(cohens_d), 6) AS abs_cohens_d, round(abs(z_difference), 6) AS abs_z_difference, CASE WHEN z_difference > 0 THEN 'higher_in_cluster_1' WHEN z_difference < 0 THEN 'higher_in_cluster_0' ELSE 'no_difference' END AS direction FROM d""")
+def cluster_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = embedding_long(spark, sf_dir).withColumn("cluster", F.col("label") % 2)
+    return rounded(S.cluster_differences(long, "cluster", p_values=False))

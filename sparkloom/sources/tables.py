@@ -2,63 +2,156 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import posixpath
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from sparkloom.sources.shared import discard
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, *, banner: bool = False) -> DataFrame:
-    """A CSV file with a header in its first line, or in its second below a banner.
+    """A CSV file with a header in its first line, or in a later one below a banner.
 
-    Below a banner the header is a row like others: it is dropped by its content, wherever the file is split."""
+    Below a banner every file is parsed as CSV, quoted commas and line breaks included, and its rows count from the one that
+    holds the column names on. A row with too few or too many fields, or a value of another type, is an error."""
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     if not banner:
-        return spark.read.csv(path, header=True, schema=schema, encoding="UTF-8")
-    names = StructType.fromDDL(schema).names if isinstance(schema, str) else schema.names
-    lines = spark.read.text(path).withColumn("value", F.ltrim(F.regexp_replace("value", "^\ufeff", "")))
-    head = ",".join(names)
-    first = lines.where(F.regexp_replace("value", '"', "") == head).select("value").limit(1)
-    if first.isEmpty():
-        raise ValueError(f"no header {head} in {path}")
-    body = lines.where(F.size(F.split("value", ",")) == len(names)).where(F.regexp_replace("value", '"', "") != head)
-    ddl = schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return body.select(F.from_csv("value", ddl).alias("r")).select("r.*").where(F.coalesce(*[F.col(f"`{n}`").cast("string") for n in names]).isNotNull())
-
-
-def read_found(spark: SparkSession, folder: str, pattern: str, schema: StructType | str) -> DataFrame:
-    """CSV files of a name anywhere below a folder; an error if there is none."""
-    out = spark.read.csv(folder, header=True, schema=schema, recursiveFileLookup=True, pathGlobFilter=pattern)
-    if not out.inputFiles():
+        return spark.read.csv(path, header=True, schema=schema, encoding="UTF-8", mode="FAILFAST", multiLine=True)
+    raw = StructType([*[StructField(n, StringType()) for n in schema.names], StructField("_bad", StringType())])
+    rows = spark.read.csv(path, schema=raw, columnNameOfCorruptRecord="_bad", encoding="UTF-8", multiLine=True, enforceSchema=True)
+    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    first = F.regexp_replace(F.col(f"`{schema.names[0]}`"), "^\ufeff", "")
+    is_head = (first == schema.names[0]) & F.col("_bad").isNull()
+    for n in schema.names[1:]:
+        is_head = is_head & (F.col(f"`{n}`") == n)
+    heads = rows.where(is_head).groupBy("_file").agg(F.min("_at").alias("_head"))  # a file is read in one piece: quoted lines break
+    if heads.isEmpty():
+        raise ValueError(f"no header {','.join(schema.names)} in {path}")
+    body = rows.join(heads, "_file").where("_at > _head")
+    wrong = F.when(F.col("_bad").isNotNull(), F.raise_error(F.concat(F.lit("malformed row: "), "_bad")).cast("boolean")).otherwise(F.lit(True))
+    return body.where(wrong).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
+
+
+def find_files(spark: SparkSession, folder: str, pattern: str) -> list[str]:
+    """The paths of all files of a name anywhere below a folder, in order; an error if there is none.
+
+    Of files with the same name below different folders the first in order comes first, so callers that want one take it."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    out = sorted(r[0] for r in found.select("path").limit(100_000).collect())
+    if not out:
         raise FileNotFoundError(f"{pattern} below {folder}")
     return out
 
 
+def read_found(spark: SparkSession, folder: str, pattern: str, schema: StructType | str, *, one: bool = False) -> DataFrame:
+    """CSV files of a name anywhere below a folder, all of them or with one the first in order; an error if there is none."""
+    paths = find_files(spark, folder, pattern)
+    return spark.read.csv(paths[:1] if one else paths, header=True, schema=schema)
+
+
+def require_files(spark: SparkSession, paths: list[str]) -> None:
+    """An error that names every path that does not exist, wherever Hadoop's file systems reach it."""
+    conf, lost = spark.sparkContext._jsc.hadoopConfiguration(), []
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not target.getFileSystem(conf).exists(target):
+            lost.append(path)
+    if lost:
+        raise FileNotFoundError("missing: " + ", ".join(lost))
+
+
+def read_texts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(file, text): whole text files below a folder; bytes that are not UTF-8 become replacement characters."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    return files.select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+
+
+def read_lines(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(file, line_no, line): the lines of text files below a folder, numbered from 1 within each."""
+    lines = read_texts(spark, path, pattern).select("file", F.posexplode(F.split("text", "\r?\n")).alias("at", "line"))
+    return lines.select("file", (F.col("at") + 1).alias("line_no"), "line")
+
+
 def read_checked(spark: SparkSession, path: str, required: list[str], key: str | None = None, constant: list[str] | None = None) -> DataFrame:
-    """A Parquet table with its contract: columns there, no nulls in them, and columns constant within a key."""
+    """A Parquet table with its contract: columns there, no nulls or NaN in them, and columns constant within a key."""
     df = spark.read.parquet(path)
-    missing = sorted(set(required) - set(df.columns))
-    if missing:
-        raise ValueError(f"{path} lacks {', '.join(missing)}")
-    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in required]).first()
+    lost = sorted(set(required) - set(df.columns))
+    if lost:
+        raise ValueError(f"{path} lacks {', '.join(lost)}")
+    kinds = dict(df.dtypes)
+    gap = {c: F.col(c).isNull() | (F.isnan(c) if kinds[c] in ("double", "float") else F.lit(False)) for c in required}
+    nulls = df.agg(*[F.count_if(g).alias(c) for c, g in gap.items()]).first()
     bad = [c for c in required if nulls[c]]
     if bad:
-        raise ValueError(f"{path} has nulls in {', '.join(bad)}")
-    for c in constant or []:
-        if not df.groupBy(key).agg((F.min(c) != F.max(c)).alias("mixed")).where("mixed").isEmpty():
-            raise ValueError(f"{path}: {c} varies within {key}")
+        raise ValueError(f"{path} has missing values in {', '.join(bad)}")
+    if constant:
+        spread = df.groupBy(key).agg(*[(F.min(c) != F.max(c)).alias(c) for c in constant]).agg(*[F.count_if(c).alias(c) for c in constant]).first()
+        bad = [c for c in constant if spread[c]]
+        if bad:
+            raise ValueError(f"{path}: {', '.join(bad)} vary within {key}")
     return df
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """A report-sized table as CSV with a header."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+def _put(spark: SparkSession, path: str, data: bytes) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def _report(df: DataFrame, max_rows: int) -> list:
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"over {max_rows} rows are no report")
+    return rows
+
+
+def write_csv(df: DataFrame, path: str, *, max_rows: int = 100_000) -> None:
+    """A report as one CSV file with a byte order mark and a header; an error beyond max_rows rows. Larger tables are written by
+    df.write.csv."""
+    text = io.StringIO()
+    out = csv.writer(text, lineterminator="\n")
+    out.writerow(df.columns)
+    out.writerows([["" if x is None or x != x else x for x in r] for r in _report(df, max_rows)])
+    _put(df.sparkSession, path, ("\ufeff" + text.getvalue()).encode())
+
+
+def write_crosstab(df: DataFrame, path: str, row: str, column: str) -> None:
+    """A crosstab as one CSV file, its first cell naming both axes."""
+    write_csv(df.select(F.col(row).alias(f"{row}\\{column}"), *[c for c in df.columns if c != row]), path)
 
 
 def markdown_table(df: DataFrame, max_rows: int = 1000, digits: int = 4) -> str:
-    """A report-sized table as Markdown: numbers to some digits, nulls empty, bars escaped."""
+    """A report-sized table as Markdown: numbers to some digits, missing ones empty, bars escaped; an error beyond max_rows rows."""
 
     def cell(x: object) -> str:
         text = "" if x is None or x != x else f"{x:.{digits}f}" if isinstance(x, float) else str(x)
-        return text.replace("|", "\\|").replace("\n", " ")
+        return text.strip().replace("|", "\\|").replace("\n", " ")
 
-    rows = [[cell(x) for x in r] for r in df.limit(max_rows).collect()]
+    rows = [[cell(x) for x in r] for r in _report(df, max_rows)]
     return "\n".join("| " + " | ".join(r) + " |" for r in [df.columns, ["---"] * len(df.columns), *rows])
+
+
+def write_report(spark: SparkSession, path: str, title: str, sections: list[tuple[str, str | DataFrame]]) -> None:
+    """A Markdown file: a title, then sections of a heading and a text or a table."""
+    parts = [f"# {title}"]
+    for heading, body in sections:
+        parts.append(f"## {heading}\n\n{body if isinstance(body, str) else markdown_table(body)}")
+    _put(spark, path, ("\n\n".join(parts) + "\n").encode())
+
+
+def remove_outputs(spark: SparkSession, folder: str, pattern: str) -> list[str]:
+    """Deletes the files of a name below a folder, which earlier runs left; their paths."""
+    try:
+        paths = find_files(spark, folder, pattern)
+    except FileNotFoundError:
+        return []
+    for path in paths:
+        discard(spark, path)
+    return [posixpath.basename(p) for p in paths]
