@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
-from collections.abc import Callable, Iterable, Iterator
-from contextvars import ContextVar
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
+from sparkloom.sources.shared import discard, folder_for, scratch, shared_dir, stored  # noqa: F401
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A lower-cased word of letters, digits and anything outside ASCII.
@@ -75,56 +73,6 @@ def covered(starts: Column, width: int) -> Column:
     )
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a session in one process (local mode, as in tests) may do without the setting."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
-
-
-def folder_for(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, or below that of the scratch() around."""
-    return f"{_SCRATCH.get() or shared_dir(spark) + '/sparkloom'}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage ends there, and what was
-    computed outlives lost executors."""
-    spark = df.sparkSession
-    path = folder_for(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a folder wherever Hadoop's file systems reach it."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@contextlib.contextmanager
-def scratch(spark: SparkSession, name: str) -> Iterator[str]:
-    """A folder for everything that stored() writes within the block. It goes with the block, so results that
-    outlive it must be written elsewhere first."""
-    path = folder_for(spark, name)
-    token = _SCRATCH.set(path)
-    try:
-        yield path
-    finally:
-        _SCRATCH.reset(token)
-        discard(spark, path)
-
-
 def free_names(taken: Iterable[str], *names: str) -> list[str]:
     """The names, each with as many underscores before it as it takes to differ from those taken."""
     used, out = {t.lower() for t in taken}, []
