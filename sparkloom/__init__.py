@@ -1 +1,8 @@
-"""Spark-native analytics for repeated-measures, high-dimensional tables."""
+"""Operators for repeated-measures tables and text corpora on PySpark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel by value, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

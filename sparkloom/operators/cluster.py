@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
-from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators.partitions import agreement, contingency
-
 
 def standardised(points: DataFrame) -> DataFrame:
     """points (id, vector, ...) with features: the vector in standard deviations."""
@@ -53,55 +48,6 @@ def sparse_components(data: DataFrame, k: int = 10, *, penalty: float = 0.1, rou
     return data.sparkSession.createDataFrame(out, "component int, feature int, loading double")
 
 
-def kmeans(data: DataFrame, k: int, *, restarts: int = 3, seed: int = 42) -> DataFrame:
-    """(id, label): the best of several starts."""
-    models = [KMeans(k=k, seed=seed + i).fit(data) for i in range(restarts)]
-    return min(models, key=lambda m: m.summary.trainingCost).transform(data).select("id", F.col("prediction").alias("label"))
-
-
-def mixture(data: DataFrame, k: int, *, seed: int = 42) -> DataFrame:
-    """(id, label) of a Gaussian mixture."""
-    return GaussianMixture(k=k, seed=seed).fit(data).transform(data).select("id", F.col("prediction").alias("label"))
-
-
-def ward(data: DataFrame, k: int, *, micro: int = 128, seed: int = 42) -> DataFrame:
-    """(id, label): Ward's agglomeration of at most micro k-means centres, each weighted by its points.
-
-    With more points than micro this replaces the agglomeration of single points, which would need all
-    pairs in one place; what reaches the driver is bounded by micro."""
-    model = KMeans(k=micro, seed=seed).fit(data)
-    near = model.transform(data).select("id", F.col("prediction").alias("micro"))
-    sizes = {r[0]: r[1] for r in near.groupBy("micro").count().collect()}
-    groups = {m: [m] for m in sizes}
-    centres = {m: (np.asarray(model.clusterCenters()[m]), float(n)) for m, n in sizes.items()}
-    while len(groups) > k:
-        names = sorted(groups)
-        c, n = np.array([centres[m][0] for m in names]), np.array([centres[m][1] for m in names])
-        d = ((c[:, None] - c[None, :]) ** 2).sum(-1) * (n[:, None] * n[None, :]) / (n[:, None] + n[None, :])
-        d[np.tril_indices(len(names))] = np.inf
-        i, j = np.unravel_index(np.argmin(d), d.shape)
-        a, b = names[i], names[j]
-        total = centres[a][1] + centres[b][1]
-        centres[a] = ((centres[a][0] * centres[a][1] + centres[b][0] * centres[b][1]) / total, total)
-        groups[a] += groups.pop(b)
-    table = near.sparkSession.createDataFrame([(m, i) for i, own in enumerate(groups[g] for g in sorted(groups)) for m in own], "micro int, label int")
-    return near.join(F.broadcast(table), "micro").select("id", "label")
-
-
-METHODS = {"kmeans": kmeans, "mixture": mixture, "ward": ward}
-
-
-def stability(data: DataFrame, k: int, method: str = "kmeans", *, runs: int = 5, share: float = 0.8, seed: int = 42) -> DataFrame:
-    """(run, n, ari, nmi): refits on seeded shares of the rows, compared with the labels of the fit to all rows."""
-    whole = METHODS[method](data, k, seed=seed)
-    out = []
-    for run in range(runs):
-        draw = F.pmod(F.xxhash64(F.lit(seed + run), "id"), F.lit(1000)) < int(1000 * share)
-        part = METHODS[method](data.where(draw), k, seed=seed).withColumnRenamed("label", "again")
-        out.append(agreement(contingency(whole.join(part, "id"), "label", "again")).withColumn("run", F.lit(run)))
-    return reduce(DataFrame.unionByName, out)
-
-
 def consensus(runs: DataFrame) -> DataFrame:
     """(label_pairs: within, between, separation) of runs (id, run, label, whole): how often two points of one final cluster, and of
     different ones, share a cluster over the runs that hold both.

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators import cluster as C
 from sparkloom.operators import metrics as M
+from sparkloom.operators import fits as X
 from sparkloom.operators import models as L
-from sparkloom.operators.partitions import cluster_sizes
+from sparkloom.operators import selection as S
+from sparkloom.operators.reports import assignment_table
 from sparkloom.plans.registry import embedding_points, query
 
 WIDTH = 64
@@ -36,7 +37,11 @@ def logreg_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rf_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cv(spark, sf_dir, lambda n: L.forest(n, trees=50))
+    return forest_cv(spark, sf_dir, 500)
+
+
+def forest_cv(spark: SparkSession, sf_dir: str, trees: int) -> DataFrame:
+    return _cv(spark, sf_dir, lambda n: L.forest(n, trees=trees))
 
 
 @query()
@@ -56,12 +61,12 @@ def l1_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def tree_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.tree_importance(_rows(spark, sf_dir), lambda n: L.forest(n, trees=50))
+    return L.tree_importance(_rows(spark, sf_dir))
 
 
 @query()
 def boosted_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.tree_importance(_rows(spark, sf_dir), lambda n: L.boosted(n, rounds=10), k=2)
+    return L.tree_importance(_rows(spark, sf_dir), lambda n: L.boosted(n, rounds=10))
 
 
 @query()
@@ -84,12 +89,18 @@ def pca_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(C.components_for(_data(spark, sf_dir), WIDTH),)], "components int")
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_points(spark, sf_dir).select("id", array_to_vector("vector").alias("features"))
+
+
 def _clustered(spark: SparkSession, sf_dir: str, method: str, k: int = 6) -> DataFrame:
-    return C.METHODS[method](C.principal(_data(spark, sf_dir), 5), k)
+    sp = X.space(_vectors(spark, sf_dir), [X.Spec(k, 5)], runs=0)
+    return X.labels_of(sp, {"kmeans": X.fit_kmeans, "mixture": X.fit_mixture, "ward": X.fit_ward}[method](sp)).select("id", "label")
 
 
 @query()
 def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six clusters of five components, the best of 50 starts."""
     return _clustered(spark, sf_dir, "kmeans")
 
 
@@ -105,31 +116,48 @@ def ward_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stability_ari(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.stability(C.principal(_data(spark, sf_dir), 5), 2, runs=3)
+    """Agreement of 50 fits to four fifths of the points, scaled and projected anew, with the fit to all."""
+    sp = X.space(_vectors(spark, sf_dir), [X.Spec(2, 5)], runs=50)
+    ari = X.stability_of(sp, X.fit_kmeans(sp))[0]
+    return spark.createDataFrame([(i, float(a)) for i, a in enumerate(ari)], "run int, ari double")
+
+
+def _top20(representations: dict[str, int | None], ks: list[int]) -> dict[tuple[str, str], X.Spec]:
+    return {("top20", f"{name}" if len(ks) == 1 else f"{name} k={k}"): X.Spec(k, components, tuple(range(20))) for name, components in representations.items() for k in ks}
 
 
 @query()
 def candidate_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of the clusters of each representation and method."""
-    data = _data(spark, sf_dir)
-    out = []
-    for name, features in (("pca_5", C.principal(data, 5).persist()), ("pca_10", C.principal(data, 10).persist())):
-        for method in C.METHODS:
-            sizes = cluster_sizes(C.METHODS[method](features, 2), "label", 2)
-            out.append(sizes.withColumns({"representation": F.lit(name), "method": F.lit(method), "k": F.lit(2)}))
-    return reduce(DataFrame.unionByName, out)
+    """Two clusters of twenty features in three representations by three methods, each with 50 resamples: quality, stability,
+    eligibility and the composite score with the recommended candidate."""
+    found, _ = X.candidate_stage(_vectors(spark, sf_dir), _top20({"scaled_only": None, "pca_5": 5, "pca_10": 10}, [2]))
+    scored = S.composite_scores(found.withColumn("balance", S.balance_2(F.col("min_ratio"))), S.WEIGHTS_2, S.BONUS_2, S.eligible_2(F.col("min_ratio")))
+    return S.choose_2(scored)
 
 
 @query()
 def k_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = C.principal(_data(spark, sf_dir), 5).persist()
-    return reduce(DataFrame.unionByName, [cluster_sizes(C.kmeans(data, k, restarts=1), "label", k).withColumn("k", F.lit(k)) for k in range(2, 9)])
+    """Two to eight clusters by three methods, with quality and the stability over 50 resamples."""
+    return X.candidate_stage(_vectors(spark, sf_dir), _top20({"pca_5": 5}, list(range(2, 9))))[0]
+
+
+@query()
+def recommended_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From points to the table of assignments: candidates by Ward's method, the composite choice, and each point's cluster with its size and
+    two coordinates."""
+    found, fits = X.candidate_stage(_vectors(spark, sf_dir), _top20({"scaled_only": None, "pca_5": 5, "pca_10": 10}, [2]), methods={"ward": X.fit_ward})
+    scored = S.composite_scores(found.withColumn("balance", S.balance_2(F.col("min_ratio"))), S.WEIGHTS_2, S.BONUS_2, S.eligible_2(F.col("min_ratio")))
+    best = S.choose_2(scored).where("recommended").first()
+    if best is None:
+        raise ValueError("no candidate is eligible")
+    labels = X.labels_of(*fits[best["id"]]).select("id", "label")
+    return assignment_table(labels, embedding_points(spark, sf_dir).select("id", F.col("label").alias("known")), "id", C.coordinates(_data(spark, sf_dir)), f"{best['feature_set']} / {best['representation']} / {best['method']}")
 
 
 @query()
 def cluster_label_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well a logistic model finds the two k-means clusters again, by fold."""
-    labels = C.kmeans(C.principal(_data(spark, sf_dir), 5), 2).withColumnRenamed("label", "y").persist()
+    labels = _clustered(spark, sf_dir, "kmeans", 2).withColumnRenamed("label", "y").persist()
     folds = M.stratified_folds(labels, "id", "y")
     return L.evaluate(L.cross_validate(embedding_points(spark, sf_dir).select("id", "vector").join(folds, "id"), L.logistic))
 
@@ -137,7 +165,7 @@ def cluster_label_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def cluster_label_classifier_6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well a logistic model finds six k-means clusters again: metrics over all held-out rows."""
-    labels = C.kmeans(C.principal(_data(spark, sf_dir), 5), 6).withColumnRenamed("label", "y").persist()
+    labels = _clustered(spark, sf_dir, "kmeans", 6).withColumnRenamed("label", "y").persist()
     rows = embedding_points(spark, sf_dir).select("id", "vector").join(M.stratified_folds(labels, "id", "y"), "id").persist()
     called = L.cross_validate_classes(rows, L.logistic)
     return M.multiclass_metrics(M.confusion_long(called, "y", "predicted", list(range(6))))

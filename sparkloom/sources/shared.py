@@ -6,12 +6,11 @@ import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+_SCRATCH: list[str] = []  # folders of the scratch() blocks around, innermost last
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def folder_for(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder, or below that of the scratch() around."""
-    return f"{_SCRATCH.get() or shared_dir(spark) + '/sparkloom'}/{name}-{uuid.uuid4().hex}"
+    return f"{_SCRATCH[-1] if _SCRATCH else shared_dir(spark) + '/sparkloom'}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -53,11 +52,11 @@ def scratch(spark: SparkSession, name: str) -> Iterator[str]:
     """A folder for everything that stored() writes within the block. It goes with the block, so results that
     outlive it must be written elsewhere first."""
     path = folder_for(spark, name)
-    token = _SCRATCH.set(path)
+    _SCRATCH.append(path)
     try:
         yield path
     finally:
-        _SCRATCH.reset(token)
+        _SCRATCH.pop()
         discard(spark, path)
 
 
