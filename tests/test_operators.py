@@ -118,14 +118,6 @@ def test_silhouette_and_folds(spark):
     assert len(folds) == 15 and all(r["count"] == 4 for r in folds)
 
 
-def test_ward_finds_far_groups(spark):
-    rng = np.random.default_rng(2)
-    rows = [(i, (rng.normal(size=2) * 0.1 + [10 * (i % 3), 5 * (i % 3)]).tolist()) for i in range(90)]
-    data = cluster.standardised(spark.createDataFrame(rows, "id int, vector array<double>")).select("id", "features")
-    labels = {r.id: r.label for r in cluster.ward(data, 3, micro=12).collect()}
-    assert len({(i % 3, labels[i]) for i in range(90)}) == 3
-
-
 def test_sparse_components_are_sparse_and_of_length_one(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(200, 6))
