@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import attention_quality, chat, decontaminate, html_text, language_id, line_templates, mixing, quality_rules, simhash, url_rules
+from sparkloom.llm import attention_quality, chat, decontaminate, html_text, language_id, line_templates, mixing, quality_rules, simhash, spelling, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,6 +91,12 @@ def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.spelling_groups(docs).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _RULES = ", ".join(f"('{r}', '{r[: r.index('/')]}', '{r[r.index('/') :]}', '{v}')" for r, v in URL_RULES)
 ORACLES["op6_url_filter"] = f"""
@@ -146,3 +152,22 @@ firsts AS (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY general, template)
 gone AS (SELECT doc_id, pos FROM firsts WHERE doc_id <> lo),
 kept AS (SELECT l.doc_id, count(*) AS n_lines, count(gone.pos) AS n_dropped, coalesce(string_agg(CASE WHEN gone.pos IS NULL THEN line END, chr(10) ORDER BY l.pos), '') AS text FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.pos = l.pos GROUP BY l.doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, kept.text FROM documents d LEFT JOIN kept USING (doc_id)"""
+
+_BYTES = "flatten(list_transform(string_split(k, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [192 | (unicode(x) >> 6), 128 | (unicode(x) & 63)] END))"
+ORACLES["op11_spelling_variants"] = f"""
+WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+raw AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+per AS (SELECT id, run, count(*) AS c FROM raw WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295, {_BYTES}), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM (SELECT run, c, id || ':' || run AS k FROM per), tab),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN run[: h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, c FROM hashed),
+v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+wild AS (SELECT word, n, i, word[: i - 1] AS ahead, word[i + 1 :] AS behind FROM p),
+cut AS (SELECT DISTINCT word, n, word[: i - 1] || word[i + 1 :] AS k FROM p),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM wild a JOIN wild b USING (i, ahead, behind) WHERE a.word <> b.word
+  UNION ALL SELECT cut.word, v.word, v.n FROM cut JOIN v ON v.word = cut.k UNION ALL SELECT v.word, cut.word, cut.n FROM cut JOIN v ON v.word = cut.k),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, encode(other)) AS other, max(m) AS m FROM near GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * v.n THEN other END AS form, CASE WHEN m >= 10 * v.n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root FROM f UNION SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.root WHERE f.form IS NOT NULL),
+last AS (SELECT chain.word, root FROM chain JOIN f ON f.word = root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN last USING (word)"""
