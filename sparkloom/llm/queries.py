@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import attention_quality, chat, decontaminate, html_text, language_id, line_templates, mixing, quality_rules, simhash, spelling, url_rules
+from sparkloom.llm import attention_quality, chat, decontaminate, divergence_audit, html_text, language_id, line_templates, mixing, quality_rules, simhash, spelling, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,6 +97,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(docs).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit.source_divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _RULES = ", ".join(f"('{r}', '{r[: r.index('/')]}', '{r[r.index('/') :]}', '{v}')" for r, v in URL_RULES)
 ORACLES["op6_url_filter"] = f"""
@@ -171,3 +176,17 @@ f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * v.n
 chain AS (SELECT word, word AS root FROM f UNION SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.root WHERE f.form IS NOT NULL),
 last AS (SELECT chain.word, root FROM chain JOIN f ON f.word = root WHERE f.form IS NULL)
 SELECT word, form, root, n, n_near, form_n FROM f JOIN last USING (word)"""
+ORACLES["op12_source_divergence"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+tok AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS k FROM tok GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS total FROM c GROUP BY ALL HAVING sum(k) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+held AS (SELECT c.* FROM c JOIN kept USING (lang, term)),
+g AS (SELECT lang, source, coalesce(sum(n), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN held USING (lang, source) GROUP BY ALL),
+cell AS (SELECT g.lang, g.source, kept.term, coalesce(held.n, 0) AS n, 1 + (1000000000 * (coalesce(held.n, 0) + 2)) // (g.n + 2 * v.v) AS p, 1 + (1000000000 * (kept.total + 2)) // (v.n + 2 * v.v) AS q
+  FROM g JOIN v USING (lang) JOIN kept ON kept.lang = g.lang LEFT JOIN held ON held.lang = g.lang AND held.source = g.source AND held.term = kept.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM cell a JOIN cell b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM cell WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM (FROM pair UNION ALL FROM term)) WHERE part = 'pair' OR rank <= 10"""
