@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import attention_quality, chat, decontaminate, divergence_audit, html_text, language_id, line_templates, mixing, quality_rules, simhash, spelling, url_rules
+from sparkloom.llm import attention_quality, chat, decontaminate, divergence_audit, html_text, language_id, line_templates, mixing, private_data, quality_rules, simhash, spelling, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,6 +102,11 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_audit.source_divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
+@query
+def op13_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.private_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _RULES = ", ".join(f"('{r}', '{r[: r.index('/')]}', '{r[r.index('/') :]}', '{v}')" for r, v in URL_RULES)
 ORACLES["op6_url_filter"] = f"""
