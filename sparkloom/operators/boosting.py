@@ -151,7 +151,7 @@ def histograms(table: DataFrame, trees: Trees, done: int, r: int, level: int, he
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in part], pa.int32()), pa.array([j for _, j in part], pa.int32()), pa.array([sums[g, j] for g, j in part], pa.list_(pa.int64()))], ["g", "j", "sums"])
 
     parts = table.mapInArrow(add, "g int, j int, sums array<bigint>")
-    parts = parts.groupBy("g", "j").agg(F.array(*[F.sum(F.get("sums", F.lit(i))) for i in range(bins * 2)]).alias("sums"))
+    parts = parts.groupBy("g", "j").agg(F.expr(f"array({', '.join(f'sum(get(sums, {i}))' for i in range(bins * 2))})").alias("sums"))
     out = np.zeros((models * nodes, width, bins * 2))
     for row in parts.toLocalIterator() if models * nodes * width > 1_000_000 else parts.collect():
         out[row["g"], row["j"]] = row["sums"]

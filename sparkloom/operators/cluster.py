@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,27 +26,6 @@ def components_for(data: DataFrame, width: int, share: float = 0.9) -> int:
     return int(np.searchsorted(np.cumsum(explained), share) + 1)
 
 
-def sparse_components(data: DataFrame, k: int = 10, *, penalty: float = 0.1, rounds: int = 200) -> DataFrame:
-    """(component, feature, loading) of k sparse components: power iteration with soft thresholds on the correlation matrix, which
-    Spark sums up and whose size is that of the features squared; each component is taken out before the next."""
-    c = np.array(Correlation.corr(data, "features").first()[0].toArray())
-    c = np.where(np.isfinite(c), c, 0.0)
-    out = []
-    for i in range(k):
-        v = np.linalg.eigh(c)[1][:, -1]
-        for _ in range(rounds):
-            w = c @ v
-            w = np.sign(w) * np.maximum(np.abs(w) - penalty * np.abs(w).max(), 0)
-            size = np.linalg.norm(w)
-            if size < 1e-12 or np.abs(w / size - v).max() < 1e-9:
-                break
-            v = w / size
-        out += [(i, j, float(x)) for j, x in enumerate(v)]
-        left = np.eye(len(v)) - np.outer(v, v)
-        c = left @ c @ left
-    return data.sparkSession.createDataFrame(out, "component int, feature int, loading double")
-
-
 def consensus(runs: DataFrame) -> DataFrame:
     """(label_pairs: within, between, separation) of runs (id, run, label, whole): how often two points of one final cluster, and of
     different ones, share a cluster over the runs that hold both.

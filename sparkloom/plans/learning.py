@@ -6,15 +6,20 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.operators import boosting as B
 from sparkloom.operators import cluster as C
+from sparkloom.operators import extra_trees as E
 from sparkloom.operators import metrics as M
 from sparkloom.operators import fits as X
 from sparkloom.operators import models as L
 from sparkloom.operators import selection as S
+from sparkloom.operators import sparse_pca as SP
 from sparkloom.operators.reports import assignment_table
 from sparkloom.plans.registry import embedding_points, query
+from sparkloom.sources.shared import stored
 
 WIDTH = 64
+FOLDS = [0, 1, 2, 3, 4]
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +49,9 @@ def forest_cv(spark: SparkSession, sf_dir: str, trees: int) -> DataFrame:
 
 @query()
 def gbt_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cv(spark, sf_dir, lambda n: L.boosted(n, rounds=10))
+    """Boosted trees at their declared size, 120 rounds of depth 2, the five folds grown together."""
+    rows = _rows(spark, sf_dir)
+    return L.evaluate(B.scores(rows, B.fit(rows, FOLDS), FOLDS))
 
 
 @query()
@@ -66,7 +73,26 @@ def tree_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def boosted_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.tree_importance(_rows(spark, sf_dir), lambda n: L.boosted(n, rounds=10))
+    """Gain importance and Shapley values of boosted trees over the folds, with their ranks."""
+    return B.importance(_rows(spark, sf_dir), FOLDS)
+
+
+@query()
+def shap_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each feature adds to a held-out row's margin above the model's base, by the model that holds the row's fold."""
+    rows = _rows(spark, sf_dir)
+    found = B.shap_rows(rows, B.fit(rows, FOLDS), FOLDS)
+    return found.select("id", "fold", "base", "margin", F.posexplode("contributions").alias("feature", "contribution"))
+
+
+@query()
+def extra_trees_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance of 500 extremely randomised trees a fold, and how far their balanced accuracy on the held-out fold falls when a feature is permuted."""
+    rows = _rows(spark, sf_dir)
+    forest = E.fit(rows, FOLDS)
+    fall = L.accuracy_fall(E.with_score(stored(L.permuted_rows(rows, WIDTH), "permuted-rows"), forest, FOLDS))
+    fall = fall.select("feature", F.col("mean").alias("permutation_mean"), F.col("std").alias("permutation_std"))
+    return E.importance_table(forest, spark, WIDTH).join(fall, "feature")
 
 
 @query()
@@ -177,4 +203,7 @@ def cluster_label_classifier_6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sparse_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.sparse_components(_data(spark, sf_dir))
+    """The loadings of 10 and of 20 sparse components."""
+    data = _data(spark, sf_dir)
+    ten, twenty = (SP.sparse_components(data, k).withColumn("n_components", F.lit(k)) for k in (10, 20))
+    return ten.unionByName(twenty)

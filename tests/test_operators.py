@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import tails
 from sparkloom.functions.expressions import close, first_match, minmax, warnings
-from sparkloom.operators import cluster, describe, metrics, partitions, ranking, selection, stats
+from sparkloom.operators import cluster, describe, metrics, partitions, ranking, selection, sparse_pca, stats
 from sparkloom.sources import tables
 
 
@@ -123,7 +123,7 @@ def test_sparse_components_are_sparse_and_of_length_one(spark):
     x = rng.normal(size=(200, 6))
     x[:, 1] = x[:, 0] + 0.1 * rng.normal(size=200)
     data = cluster.standardised(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id int, vector array<double>"))
-    v = np.array([r.loading for r in cluster.sparse_components(data, 2, penalty=0.3).where("component = 0").orderBy("feature").collect()])
+    v = np.array([r.loading for r in sparse_pca.sparse_components(data, 2, alpha=8.0).where("component = 0").orderBy("feature").collect()])
     assert np.linalg.norm(v) == pytest.approx(1) and (abs(v) > 1e-9).sum() == 2 and abs(v[0] * v[1]) == pytest.approx(0.5, abs=0.05)
 
 
