@@ -93,10 +93,10 @@ def bins_of(rows: DataFrame, width: int, bins: int) -> list[np.ndarray]:
     return [np.unique(np.array(found[j] if found[j] is not None else [], float)) for j in range(width)]
 
 
-def binned(rows: DataFrame, cuts: list[np.ndarray], models: int, rows_a_task: int = 20_000) -> DataFrame:
-    """(draw, y, fold, codes, margins), stored in as many parts as the rows need: draw is a number by which rows are
+def binned(rows: DataFrame, cuts: list[np.ndarray], models: int, rows_a_task: int = 20_000) -> tuple[DataFrame, int]:
+    """((draw, y, fold, codes, margins), parts), stored in as many parts as the rows need: draw is a number by which rows are
     drawn, codes has a byte for each feature, margins a zero for each model. A row without a label does not teach."""
-    n = rows.count()
+    parts = max(1, ceil(rows.count() / rows_a_task))
     taught = rows.where("y is not null").select(F.xxhash64("id").alias("draw"), F.col("y").cast("double").alias("y"), F.col("fold").cast("int").alias("fold"), F.col("vector").cast("array<double>").alias("vector"))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +107,7 @@ def binned(rows: DataFrame, cuts: list[np.ndarray], models: int, rows_a_task: in
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("draw", "y", "fold")), pa.array([c.tobytes() for c in codes], pa.binary()), zeros], ["draw", "y", "fold", "codes", "margins"])
 
     coded = taught.mapInArrow(code, "draw long, y double, fold int, codes binary, margins array<double>")
-    return stored(coded.repartition(max(1, ceil(n / rows_a_task))), "binned")
+    return stored(coded.repartition(parts), "binned"), parts
 
 
 def _read(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,9 +124,9 @@ def _drawn(draw: np.ndarray, share: float, seed: int) -> np.ndarray:
     return (x >> np.uint64(11)).astype(float) / (1 << 53) < share
 
 
-def histograms(table: DataFrame, trees: Trees, done: int, r: int, level: int, held: list[int], options: Options) -> np.ndarray:
+def histograms(table: DataFrame, trees: Trees, done: int, r: int, level: int, held: list[int], options: Options, parts: int = 2) -> np.ndarray:
     """(model, node of the level, feature, bin, 2): sums of first and second derivatives of the log loss over the rows that a
-    model learns from in round r. margins of the table hold the first done rounds."""
+    model learns from in round r. margins of the table hold the first done rounds; of one part, its only task has the sums."""
     width, nodes, models, bins = len(trees.cuts), 1 << level, len(held), options.bins
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,11 +150,13 @@ def histograms(table: DataFrame, trees: Trees, done: int, r: int, level: int, he
             part = keys[i : i + 4096]
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in part], pa.int32()), pa.array([j for _, j in part], pa.int32()), pa.array([sums[g, j] for g, j in part], pa.list_(pa.int64()))], ["g", "j", "sums"])
 
-    parts = table.mapInArrow(add, "g int, j int, sums array<bigint>")
-    parts = parts.groupBy("g", "j").agg(F.expr(f"array({', '.join(f'sum(get(sums, {i}))' for i in range(bins * 2))})").alias("sums"))
+    sums = table.mapInArrow(add, "g int, j int, sums array<bigint>")
+    if parts > 1:
+        sums = sums.groupBy("g", "j").agg(F.expr(f"array({', '.join(f'sum(get(sums, {i}))' for i in range(bins * 2))})").alias("sums"))
+    found = sums.toArrow()
     out = np.zeros((models * nodes, width, bins * 2))
-    for row in parts.toLocalIterator() if models * nodes * width > 1_000_000 else parts.collect():
-        out[row["g"], row["j"]] = row["sums"]
+    if found.num_rows:
+        out[found["g"].to_numpy(), found["j"].to_numpy()] = found["sums"].combine_chunks().flatten().to_numpy().reshape(-1, bins * 2)
     return out.reshape(models, nodes, width, bins, 2) / _SCALE
 
 
@@ -202,7 +204,7 @@ def fit(rows: DataFrame, held: list[int], options: Options = Options(), *, keep_
     size = (2 << o.depth) - 1
     shape = (models, o.rounds, size)
     trees = Trees(cuts, base, np.full(shape, -1), np.zeros(shape, int), np.zeros(shape), np.zeros(shape), np.zeros(shape))
-    table, done = binned(rows, cuts, models), 0
+    (table, parts), done = binned(rows, cuts, models), 0
     for r in range(o.rounds):
         if r - done >= keep_every:
             table, done = _advanced(table, trees, done, r), r
@@ -211,7 +213,7 @@ def fit(rows: DataFrame, held: list[int], options: Options = Options(), *, keep_
         for m in range(models):
             columns[m, draws.choice(width, max(1, round(o.columns * width)), replace=False)] = True
         for level in range(o.depth):
-            sums = histograms(table, trees, done, r, level, held, o)
+            sums = histograms(table, trees, done, r, level, held, o, parts)
             for m in range(models):
                 for i in range(1 << level):
                     node = (1 << level) - 1 + i
