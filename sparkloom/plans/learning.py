@@ -11,6 +11,7 @@ from sparkloom.operators import cluster as C
 from sparkloom.operators import extra_trees as E
 from sparkloom.operators import metrics as M
 from sparkloom.operators import fits as X
+from sparkloom.operators import linear as N
 from sparkloom.operators import models as L
 from sparkloom.operators import selection as S
 from sparkloom.operators import sparse_pca as SP
@@ -35,7 +36,9 @@ def _cv(spark: SparkSession, sf_dir: str, make) -> DataFrame:
 
 @query()
 def logreg_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cv(spark, sf_dir, L.logistic)
+    """The five folds' models are fitted together."""
+    rows = _rows(spark, sf_dir)
+    return L.evaluate(N.scores(rows, N.fit(*N.prepared(rows, FOLDS), [N.Model(f) for f in FOLDS], FOLDS)))
 
 
 @query()
@@ -62,8 +65,8 @@ def svm_rbf_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def l1_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One penalty, without the search of the operator's default, which makes 75 more fits."""
-    return L.l1_frequency(_rows(spark, sf_dir), cs=(0.1,))
+    """How often L1 models keep a feature, each with the penalty that its inner folds favour: 75 fits for the search and 5 more."""
+    return N.l1_stability(_rows(spark, sf_dir), FOLDS, L.L1_CS)
 
 
 @query()
