@@ -5,35 +5,22 @@ from __future__ import annotations
 import csv
 import io
 import posixpath
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
+from sparkloom.sources import csv_blocks
 from sparkloom.sources.shared import discard
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str, *, banner: bool = False) -> DataFrame:
-    """A CSV file with a header in its first line, or in a later one below a banner.
-
-    Below a banner every file is parsed as CSV, quoted commas and line breaks included, and its rows count from the one that
-    holds the column names on. A row with too few or too many fields, or a value of another type, is an error."""
-    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    if not banner:
-        return spark.read.csv(path, header=True, schema=schema, encoding="UTF-8", mode="FAILFAST", multiLine=True)
-    raw = StructType([*[StructField(n, StringType()) for n in schema.names], StructField("_bad", StringType())])
-    rows = spark.read.csv(path, schema=raw, columnNameOfCorruptRecord="_bad", encoding="UTF-8", multiLine=True, enforceSchema=True)
-    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
-    first = F.regexp_replace(F.col(f"`{schema.names[0]}`"), "^\ufeff", "")
-    is_head = (first == schema.names[0]) & F.col("_bad").isNull()
-    for n in schema.names[1:]:
-        is_head = is_head & (F.col(f"`{n}`") == n)
-    heads = rows.where(is_head).groupBy("_file").agg(F.min("_at").alias("_head"))  # a file is read in one piece: quoted lines break
-    if heads.isEmpty():
-        raise ValueError(f"no header {','.join(schema.names)} in {path}")
-    body = rows.join(heads, "_file").where("_at > _head")
-    wrong = F.when(F.col("_bad").isNotNull(), F.raise_error(F.concat(F.lit("malformed row: "), "_bad")).cast("boolean")).otherwise(F.lit(True))
-    return body.where(wrong).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
+def read_csv(spark: SparkSession, path: str | list[str], schema: StructType | str, *, banner: bool = False) -> DataFrame:
+    """CSV files with a header in their first line, or in a later one below a banner; see csv_blocks.table.
+
+    Columns are taken by the names of each file's header. Quoted commas and line breaks are kept; large files are read by many tasks."""
+    return csv_blocks.table(spark, path, StructType.fromDDL(schema) if isinstance(schema, str) else schema, banner=banner)
 
 
 def find_files(spark: SparkSession, folder: str, pattern: str) -> list[str]:
@@ -41,16 +28,16 @@ def find_files(spark: SparkSession, folder: str, pattern: str) -> list[str]:
 
     Of files with the same name below different folders the first in order comes first, so callers that want one take it."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    out = sorted(r[0] for r in found.select("path").limit(100_000).collect())
+    out = sorted(found.inputFiles())
     if not out:
         raise FileNotFoundError(f"{pattern} below {folder}")
     return out
 
 
 def read_found(spark: SparkSession, folder: str, pattern: str, schema: StructType | str, *, one: bool = False) -> DataFrame:
-    """CSV files of a name anywhere below a folder, all of them or with one the first in order; an error if there is none."""
+    """CSV files of a name anywhere below a folder, all of them or with one the first in order; an error if there is none, or if one is malformed."""
     paths = find_files(spark, folder, pattern)
-    return spark.read.csv(paths[:1] if one else paths, header=True, schema=schema)
+    return read_csv(spark, paths[:1] if one else paths, schema)
 
 
 def require_files(spark: SparkSession, paths: list[str]) -> None:
@@ -155,3 +142,39 @@ def remove_outputs(spark: SparkSession, folder: str, pattern: str) -> list[str]:
     for path in paths:
         discard(spark, path)
     return [posixpath.basename(p) for p in paths]
+
+
+def write_verified(tables: dict[str, DataFrame], check: Callable[[dict[str, DataFrame]], None]) -> None:
+    """Writes tables as Parquet at their paths, all or none: each is written beside its path, check looks at what was
+    written, by path, and raises what is wrong with it; only then do the new tables take the places of the old.
+
+    If check, or a write, fails, nothing changes and what was written goes. A reader may meet the moment between two renames, when a path is away."""
+    if not tables:
+        return
+    spark = next(iter(tables.values())).sparkSession
+    conf, hadoop = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    mark = uuid.uuid4().hex
+    staged = {path: f"{path.rstrip('/')}._new-{mark}" for path in tables}
+    try:
+        for path, df in tables.items():
+            df.write.parquet(staged[path])
+        check({path: spark.read.schema(df.schema).parquet(staged[path]) for path, df in tables.items()})
+        moved: list[tuple[str, str]] = []
+        try:
+            for path, new in staged.items():
+                fs, old = hadoop(path).getFileSystem(conf), f"{path.rstrip('/')}._old-{mark}"
+                for a, b in ((path, old), (new, path)):
+                    if a == path and not fs.exists(hadoop(path)):
+                        continue
+                    if not fs.rename(hadoop(a), hadoop(b)):
+                        raise OSError(f"{a} could not be renamed to {b}")
+                    moved.append((a, b))
+        except Exception:
+            for a, b in reversed(moved):
+                hadoop(a).getFileSystem(conf).rename(hadoop(b), hadoop(a))
+            raise
+        for path in tables:
+            discard(spark, f"{path.rstrip('/')}._old-{mark}")
+    finally:
+        for new in staged.values():
+            discard(spark, new)
