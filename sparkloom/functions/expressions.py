@@ -60,12 +60,6 @@ def minmax(x: Column, over: WindowSpec | None = None, *, higher_is_better: bool
     return out if within is None else F.when(within, out)
 
 
-def zscore(x: Column, over: WindowSpec) -> Column:
-    """x in population standard deviations from its mean; a constant column gives 0."""
-    spread = F.stddev_pop(x).over(over)
-    return (x - F.avg(x).over(over)) / F.when(spread < 1e-12, 1.0).otherwise(spread)
-
-
 def share(part: Column, whole: Column) -> Column:
     """part / whole, null where whole is 0."""
     return part / F.nullif(whole.cast("double"), F.lit(0.0))

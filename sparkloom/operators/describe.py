@@ -96,6 +96,14 @@ def feature_audit(long: DataFrame, tolerance: float = 1e-12) -> DataFrame:
     return out.select("feature", "n", "n_missing", "n_distinct", "std", (F.col("n_distinct") <= 1).alias("is_constant"), F.coalesce(F.col("std") <= tolerance, F.lit(True)).alias("is_near_constant"))
 
 
+def feature_zscores(long: DataFrame) -> DataFrame:
+    """long (feature, x, ...) with z: x in population standard deviations from its feature's mean; 0 in a constant feature. Means are a row a
+    feature, which goes to all tasks up to 100,000 features."""
+    sizes = few(stored(long.groupBy("feature").agg(F.avg("x").alias("_mean"), F.stddev_pop("x").alias("_spread")), "feature-sizes"), 100_000)
+    z = (F.col("x") - F.col("_mean")) / F.when(F.col("_spread") < 1e-12, 1.0).otherwise(F.col("_spread"))
+    return long.join(sizes, "feature", "left").withColumn("z", z).drop("_mean", "_spread")
+
+
 def running_ranks(long: DataFrame) -> DataFrame:
     """(feature, x, n, rank): the average rank of each distinct value of each feature."""
     return cumulative_counts(long, ["feature"], "x").select("feature", "x", "n", average_rank().alias("rank"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.expressions import share
 from sparkloom.operators.ranking import average_rank, cumulative_counts
+from sparkloom.sources.shared import few, stored
 
 
 def confusion(df: DataFrame, by: list[str], y: str, score: str, threshold: float = 0.5) -> DataFrame:
@@ -90,6 +93,40 @@ def stratified_folds(subjects: DataFrame, key: str, y: str, k: int = 5, seed: in
     return counted.join(ranked, [y, "_h"]).drop("_h")
 
 
+def group_folds(records: DataFrame, key: str, y: str, k: int = 5, seed: int = 42, *, stratified: bool = True) -> DataFrame:
+    """(key, fold): each subject's fold 0..k-1, such that folds have about the same number of records of each class although subjects have
+    unlike numbers of them. Without stratified, classes do not count, only records.
+
+    Subjects with the same numbers of records by class are alike. They are dealt round in the order of their keys' hashes; those left
+    over go, the most uneven numbers first, each to the fold where the shares of the classes by fold then spread least, of equals
+    to the one with fewest records. Only the distinct numbers, not subjects, reach the driver. Records without a class count as a class, those
+    without a key get no fold."""
+    label = F.coalesce(F.col(y).cast("string"), F.lit("")) if stratified else F.lit("")
+    counts = records.where(F.col(key).isNotNull()).groupBy(key, label.alias("_y")).agg(F.count("*").alias("_n"))
+    subjects = counts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_y", "_n"))).alias("_v"))
+    subjects = stored(subjects.withColumn("_v", F.to_json("_v")).withColumn("_h", F.xxhash64(F.lit(seed), key)), "subject-counts")
+    dealt = cumulative_counts(subjects, ["_v"], "_h").select("_v", "_h", "before", "total")
+    kinds = {r["_v"]: r["n"] for r in subjects.groupBy("_v").agg(F.count("*").alias("n")).collect()}
+    vectors = {v: {x["_y"]: x["_n"] for x in json.loads(v)} for v in kinds}
+    labels = sorted({c for v in vectors.values() for c in v})
+    numbers = {v: np.array([d.get(c, 0) for c in labels], float) for v, d in vectors.items()}
+    total = np.maximum(sum((n * numbers[v] for v, n in kinds.items()), np.zeros(len(labels))), 1)
+    held = np.tile(sum(((n // k) * numbers[v] for v, n in kinds.items()), np.zeros(len(labels))), (k, 1))
+    places = []
+    for v in sorted(kinds, key=lambda v: (-numbers[v].std() if len(labels) > 1 else -numbers[v].sum(), v)):
+        free = list(range(k))
+        for i in range(kinds[v] % k):
+            spread = [np.std((held + np.eye(k)[f][:, None] * numbers[v]) / total, axis=0).mean() for f in free]
+            f = min(range(len(free)), key=lambda i: (round(spread[i], 12), held[free[i]].sum(), free[i]))
+            held[free[f]] += numbers[v]
+            places.append((v, i, free.pop(f)))
+    left = records.sparkSession.createDataFrame(places, "_v string, _i long, _f int")
+    whole = F.col("before") < F.col("total") - F.pmod("total", F.lit(k))
+    at = dealt.withColumn("_i", F.when(~whole, F.col("before") - F.col("total") + F.pmod("total", F.lit(k))))
+    at = at.join(few(left, 1_000_000), ["_v", "_i"], "left").withColumn("fold", F.coalesce("_f", F.pmod("before", F.lit(k)).cast("int")))
+    return subjects.join(at.select("_v", "_h", "fold"), ["_v", "_h"]).select(key, "fold")
+
+
 def fold_audit(records: DataFrame, key: str, y: str, k: int = 5) -> DataFrame:
     """(fold, train_subjects, test_subjects, train_records, test_records, test_positive, overlap) from records with a fold."""
     per = records.groupBy(key).agg(F.min(y).alias("y"), F.count("*").alias("records"), F.min("fold").alias("lo"), F.max("fold").alias("hi"))

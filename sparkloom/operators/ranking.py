@@ -58,7 +58,7 @@ def average_ranks(df: DataFrame, by: list[str], value: str, *, descending: bool
     clean = df.withColumn("_v", F.when(~F.isnan(value), F.col(value)))
     ranked = cumulative_counts(clean, by, "_v").select(*by, "_v", average_rank(descending).alias("_rank"))
     missing = clean.groupBy(*by).agg(F.count("_v").alias("_some"), F.count_if(F.col("_v").isNull()).alias("_none"))
-    out = clean.join(ranked, [*by, "_v"], "left").join(missing, by)
+    out = clean.join(ranked, [*by, "_v"], "left").join(few(stored(missing, "missing-values"), MAX_GROUPS), by)
     return out.withColumn(name, F.coalesce("_rank", F.col("_some") + (F.col("_none") + 1) / 2)).drop("_v", "_rank", "_some", "_none")
 
 

@@ -126,6 +126,13 @@ def stratified_hash_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.stratified_folds(subjects, "id", "y")
 
 
+@query()
+def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds of orders with unlike numbers of lines, balanced by lines of each class: (fold, y, records, subjects)."""
+    lines = records(spark, sf_dir).select("id", "y")
+    return lines.join(M.group_folds(lines, "id", "y"), "id").groupBy("fold", "y").agg(F.count("*").alias("records"), F.countDistinct("id").alias("subjects"))
+
+
 @query(f"WITH {_FOLDS} SELECT count(*) AS leaked FROM (SELECT id FROM records JOIN f USING (id) GROUP BY id HAVING count(DISTINCT fold) > 1)")
 def leakage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = _subjects_dealt(spark, sf_dir).groupBy("id").agg((F.min("fold") != F.max("fold")).alias("leaks"))

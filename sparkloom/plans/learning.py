@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import boosting as B
 from sparkloom.operators import cluster as C
+from sparkloom.operators import evidence as V
 from sparkloom.operators import extra_trees as E
 from sparkloom.operators import metrics as M
 from sparkloom.operators import fits as X
@@ -15,8 +16,10 @@ from sparkloom.operators import linear as N
 from sparkloom.operators import models as L
 from sparkloom.operators import selection as S
 from sparkloom.operators import sparse_pca as SP
+from sparkloom.operators import stats as T
+from sparkloom.operators.describe import feature_audit
 from sparkloom.operators.reports import assignment_table
-from sparkloom.plans.registry import embedding_points, query
+from sparkloom.plans.registry import embedding_long, embedding_points, query
 from sparkloom.sources.shared import stored
 
 WIDTH = 64
@@ -98,6 +101,16 @@ def extra_trees_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.importance_table(forest, spark, WIDTH).join(fall, "feature")
 
 
+@query()
+def evidence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tests, L1 stability, extra-trees and permutation importance of every feature, ranked and flagged; boosting's is optional and left out here."""
+    rows, long = _rows(spark, sf_dir), embedding_long(spark, sf_dir)
+    forest = E.fit(rows, FOLDS)
+    fall = L.accuracy_fall(E.with_score(stored(L.permuted_rows(rows, WIDTH), "permuted-rows"), forest, FOLDS))
+    tests = T.univariate_screen(long, F.col("label") < 5).select("feature", "category", "p_mannwhitney", "q_mannwhitney", "cohens_d", "abs_cohens_d", "cliffs_delta", "abs_cliffs_delta")
+    return V.evidence_summary(tests, feature_audit(long), N.l1_stability(rows, FOLDS, L.L1_CS), E.importance_table(forest, spark, WIDTH), fall)
+
+
 @query()
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.permutation_importance(_rows(spark, sf_dir), L.logistic, WIDTH)

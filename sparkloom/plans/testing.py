@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.expressions import direction, minus_log10, zscore
+from sparkloom.functions.expressions import direction, minus_log10
 from sparkloom.operators import stats as S
-from sparkloom.operators.describe import feature_audit
+from sparkloom.operators.describe import feature_audit, feature_zscores
 from sparkloom.operators.ranking import adjust_fdr, average_rank_over, average_ranks, mean_rank, rank_evidence, top_n_each
 from sparkloom.plans.registry import LONG, embedding_long, query, rounded
 
@@ -28,7 +28,7 @@ def _positive() -> Column:
 
 @query(f"WITH {LONG} SELECT id, feature, round((x - avg(x) OVER w) / stddev_pop(x) OVER w, 6) AS z FROM long WINDOW w AS (PARTITION BY feature)")
 def zscore_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(embedding_long(spark, sf_dir).select("id", "feature", zscore(F.col("x"), Window.partitionBy("feature")).alias("z")))
+    return rounded(feature_zscores(embedding_long(spark, sf_dir)).select("id", "feature", "z"))
 
 
 @query(f"WITH {_RANKED} SELECT id, feature, rk AS rank FROM ranked")
