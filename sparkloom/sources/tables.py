@@ -114,14 +114,17 @@ def write_crosstab(df: DataFrame, path: str, row: str, column: str) -> None:
     write_csv(df.select(F.col(row).alias(f"{row}\\{column}"), *[c for c in df.columns if c != row]), path)
 
 
-def markdown_table(df: DataFrame, max_rows: int = 1000, digits: int = 4) -> str:
-    """A report-sized table as Markdown: numbers to some digits, missing ones empty, bars escaped; an error beyond max_rows rows."""
+def markdown_table(df: DataFrame, max_rows: int = 1000, digits: int = 4, formats: dict[str, str] | None = None) -> str:
+    """A report-sized table as Markdown: numbers to some digits, or as formats say of a column (.3e, .12g, .1%), missing ones empty, bars
+    escaped; an error beyond max_rows rows."""
 
-    def cell(x: object) -> str:
-        text = "" if x is None or x != x else f"{x:.{digits}f}" if isinstance(x, float) else str(x)
-        return text.strip().replace("|", "\\|").replace("\n", " ")
+    def cell(name: str, x: object) -> str:
+        if x is None or x != x:
+            return ""
+        form = (formats or {}).get(name) or (f".{digits}f" if isinstance(x, float) else None)
+        return (format(x, form) if form else str(x)).strip().replace("|", "\\|").replace("\n", " ")
 
-    rows = [[cell(x) for x in r] for r in _report(df, max_rows)]
+    rows = [[cell(n, x) for n, x in zip(df.columns, r)] for r in _report(df, max_rows)]
     return "\n".join("| " + " | ".join(r) + " |" for r in [df.columns, ["---"] * len(df.columns), *rows])
 
 

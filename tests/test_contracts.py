@@ -105,3 +105,9 @@ def test_static_scan(spark):
     assert out["m.py", 1, "train_test_split"] == ("fail", "yes") and out["m.py", 2, "train_test_split"] == ("safe", "no")
     assert out["m.py", 3, "StandardScaler("][0] == "safe" and out["m.py", 4, "PCA("][0] == "safe" and out["m.py", 5, "SMOTE"][0] == "warning"
     assert out["m.py", 6, "Status"][0] == "safe" and out["u.py", 1, "fit_transform"][0] == "warning" and out["u.py", 5, "LogisticRegressionCV"][0] == "safe"
+
+
+def test_number_formats(spark):
+    df = spark.createDataFrame([(0.000123456, 0.25, 1234567.891, 7), (None, float("nan"), 1.0, None)], "p double, share double, x double, n int")
+    got = tables.markdown_table(df, formats={"p": ".3e", "share": ".1%", "x": ".12g"}).split("\n")
+    assert got[2:] == ["| 1.235e-04 | 25.0% | 1234567.891 | 7 |", "|  |  | 1 |  |"]
