@@ -51,19 +51,21 @@ def top_grams(grams: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     return grams[np.lexsort((grams, -counts))][:size]
 
 
+_SEED = 11
+_SPARE = 20  # drawn beyond what was asked for, so that no language is left out by chance
+
+
 def learn_profiles(docs: DataFrame, *, size: int = 300, longest: int = 3, max_documents: int = 20_000) -> dict[str, list[int]]:
     """The size most frequent n-grams, in order, of each language of docs (text, lang).
 
-    At most about max_documents documents of a language teach its profile: those with the smallest hash
-    of their text, by a share that its number of documents sets. Rows without a language or letter
-    teach nothing. The result holds size numbers a language."""
+    About max_documents documents of a language teach its profile, drawn row by row with a seed, by a share that its
+    number of documents sets; all of them if there are fewer. Rows without a language or letter teach nothing. The result holds size numbers a language."""
     teach = docs.where("lang is not null and text is not null").select("lang", "text")
-    share = teach.groupBy("lang").agg((F.lit(float(max_documents)) / F.count("*")).alias("share"))
+    share = teach.groupBy("lang").agg((F.lit(float(max_documents + _SPARE)) / F.count("*")).alias("share"))
     share = stored(share, "language-shares")
     if share.isEmpty():
         return {}
-    draw = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))
-    sample = teach.join(small(share, 10_000), "lang").where(draw < F.col("share")).select("lang", "text")
+    sample = teach.withColumn("draw", F.rand(_SEED)).join(small(share, 10_000), "lang").where(F.col("draw") < F.col("share")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, list] = {}
