@@ -39,13 +39,13 @@ def _uniform(*parts: Column) -> Column:
 
 
 def _unit(item: Column, p: Column) -> Column:
-    return F.struct(item["doc_id"].alias("doc_id"), item["size"].alias("size"), item["same"].alias("same"), p.cast("double").alias("p"))
+    return F.struct(item["doc_id"].alias("doc_id"), item["size"].alias("size"), item["same"].alias("same"), item["nth"].alias("nth"), p.cast("double").alias("p"))
 
 
-def _pivot(state: Column, item: Column) -> Column:
+def _pivot(state: Column, item: Column, names: tuple[str, ...]) -> Column:
     """Pairs the open unit of a state with the next: words pass from one to the other until one of them
     has a whole number of copies. Which way they pass is drawn so that each keeps its expectation; the
-    sum of words stays the same."""
+    sum of words stays the same. names are the fields that the draw hashes."""
     a, b = state["open"], item
     size_a, size_b = a["size"] * a["same"], b["size"] * b["same"]
     room_a, held_a, room_b, held_b = (1 - a["p"]) * size_a, a["p"] * size_a, (1 - b["p"]) * size_b, b["p"] * size_b
@@ -62,19 +62,19 @@ def _pivot(state: Column, item: Column) -> Column:
             F.when(room_a <= held_b, step(a_full, _unit(b, clip(b["p"] - to_a / size_b)))).otherwise(step(b_none, _unit(a, clip(a["p"] + to_a / size_a)))),
         ).otherwise(F.when(held_a <= room_b, step(a_none, _unit(b, clip(b["p"] + to_b / size_b)))).otherwise(step(b_full, _unit(a, clip(a["p"] - to_b / size_a)))))
 
-    flow = F.struct(F.least(room_a, held_b).alias("to_a"), F.least(held_a, room_b).alias("to_b"), _uniform(a["doc_id"], a["size"], b["doc_id"], b["size"]).alias("u"))
+    flow = F.struct(F.least(room_a, held_b).alias("to_a"), F.least(held_a, room_b).alias("to_b"), _uniform(*[x[n] for x in (a, b) for n in names]).alias("u"))
     return let(flow, moved)
 
 
-def _round_chunks(units: DataFrame) -> DataFrame:
+def _round_chunks(units: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """(key, chunk, s): folds the units (key, chunk, unit) of each chunk; one stays open."""
     chunks = units.groupBy("key", "chunk").agg(F.sort_array(F.collect_list("unit")).alias("all"))
     nothing = F.filter("all", lambda _: F.lit(False))
     start = F.struct(F.element_at("all", 1).alias("open"), nothing.alias("done"))
-    return chunks.select("key", "chunk", F.aggregate(F.slice("all", 2, F.size("all") - 1), start, _pivot).alias("s"))
+    return chunks.select("key", "chunk", F.aggregate(F.slice("all", 2, F.size("all") - 1), start, lambda s, x: _pivot(s, x, names)).alias("s"))
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), epochs: float = 1.5, max_copies: int = 2, chunk: int = 128, max_sources: int = 100_000) -> DataFrame:
+def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), epochs: float = 1.5, max_copies: int = 2, chunk: int = 128, max_sources: int = 100_000, each: bool = True) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken), a row for each row of docs.
 
     size is the number of words of text. Every document of a source gets floor(r) copies, where r is
@@ -84,8 +84,9 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), epochs: float
     its target by half a document at most. Reruns agree, for the draws are hashes of the ids.
 
     Nulls are a source of their own, last in order. A text without words has size 0, takes 0 words and
-    gets floor(r) copies. Rows equal in doc_id, source and size get the same number of copies; they
-    are rounded as one unit. Other columns of docs are ignored.
+    gets floor(r) copies. Rows equal in doc_id, source and size are numbered, each is a unit of its own,
+    and which of them has more copies does not matter; without each they are one unit, and get the same number of
+    copies. Other columns of docs are ignored.
     """
     key = F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1"))
     sizes = stored(docs.select("doc_id", key.alias("key"), F.size(words(F.col("text"))).cast("long").alias("size")), "document-sizes")
@@ -93,15 +94,20 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), epochs: float
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_copies)))).otherwise(0.0)
     shares = stored(targets.select("*", F.floor(ratio).alias("base"), (ratio - F.floor(ratio)).alias("p"), F.ceil(F.col("n_rows") / chunk).alias("chunks")), "source-shares")
     of_source = small(shares, max_sources)
-    distinct = sizes.groupBy("doc_id", "key", "size").agg(F.count("*").alias("same"))
-    units = distinct.join(of_source.select("key", "p", "chunks"), "key")
+    same = sizes.groupBy("doc_id", "key", "size").agg(F.count("*").alias("same"))
+    if each:
+        same = same.select("doc_id", "key", "size", F.lit(1).cast("long").alias("same"), F.explode(F.sequence(F.lit(1).cast("long"), "same")).alias("nth"))
+    else:
+        same = same.withColumn("nth", F.lit(1).cast("long"))
+    names = ("doc_id", "size", "nth") if each else ("doc_id", "size")
+    units = same.join(of_source.select("key", "p", "chunks"), "key")
     fixed = (F.col("size") == 0) | (F.col("p") == 0)
-    settled = [units.where(fixed).select("key", "doc_id", "size", "same", F.lit(0.0).alias("p"))]
-    place = F.pmod(F.xxhash64("doc_id", "size"), F.col("chunks"))
-    open_units = units.where(~fixed).select("key", place.alias("chunk"), F.struct("doc_id", "size", "same", "p").alias("unit"))
+    settled = [units.where(fixed).select("key", "doc_id", "size", "same", "nth", F.lit(0.0).alias("p"))]
+    place = F.pmod(F.xxhash64(*names), F.col("chunks"))
+    open_units = units.where(~fixed).select("key", place.alias("chunk"), F.struct("doc_id", "size", "same", "nth", "p").alias("unit"))
     chunks = shares.agg(F.coalesce(F.max("chunks"), F.lit(1))).first()[0]
     while True:
-        rounded = stored(_round_chunks(open_units), "rounded-chunks")
+        rounded = stored(_round_chunks(open_units, names), "rounded-chunks")
         settled.append(rounded.select("key", F.explode("s.done").alias("unit")).select("key", "unit.*"))
         if chunks <= 1:
             break
