@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from dataclasses import dataclass
 from functools import reduce
 
@@ -81,6 +83,7 @@ STATIC_KEYWORDS = [
 REVIEWED = ["SMOTE", "SelectKBest", "cross_val_score", "GridSearchCV"]
 FITTED = ["StandardScaler(", "PCA(", "fit_transform"]
 LABELS = ["class", "Status", "cluster", "stage5_cluster", "stage6_cluster"]
+METADATA = ["sex_male", "gender", "Gender", "Recording", "id", "ID"]
 #: Words nearby that show a label column in validation or description, and as a target.
 EXCUSES = ["excluded", "not enter", "不进入", "metadata", "required", "post", "crosstab", "assignments", "audit"]
 TARGETS = ["y =", "labels", "label"]
@@ -92,28 +95,45 @@ def _any(text: Column, words: list[str]) -> Column:
     return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
 
 
-def classify_static(lines: DataFrame, *, supervised: list[str], keywords: list[str] = STATIC_KEYWORDS, near: int = 3, far: int = 12) -> DataFrame:
-    """(file, line_no, keyword, status, needs_fix): the lines (file, line_no, line) that hold a keyword, judged by the lines around.
+def classify_static(lines: DataFrame, *, supervised: list[str], aligned: Sequence[str] = (), keywords: list[str] = STATIC_KEYWORDS, near: int = 3, far: int = 12, block: int = 10_000) -> DataFrame:
+    """(file, line_no, keyword, status, needs_fix, explanation): the lines (file, line_no, line), numbered from 1 without gaps, that hold a
+    keyword, judged by the lines around.
 
     A split by rows fails unless the line says it is not used. Fitted preprocessing is safe in the supervised files within a pipeline, else a
-    warning. A cross-validated model is safe near a pipeline. Label columns that stand near a target are a
-    warning unless something nearby excuses them. Neighbours come from windows over a file's lines, so files meet line by line."""
-    w = Window.partitionBy("file").orderBy("line_no")
+    warning. A cross-validated model is safe near a pipeline. Label columns that stand near a target are a warning unless something nearby
+    excuses them; so is stage5_cluster in the aligned files wherever it stands. Neighbours come from windows over blocks of a
+    file's lines, each with far lines of the blocks beside it, so a file of any length is dealt to many tasks."""
+    if block < far:
+        raise ValueError("a block must hold the lines around one")
+    at, own = (F.col("line_no") - 1) % block, F.floor((F.col("line_no") - 1) / block)
+    blocks = F.array_compact(F.array(own, F.when(at < far, own - 1), F.when(at >= block - far, own + 1)))
+    spread = lines.select("file", "line_no", "line", own.alias("own"), F.explode(blocks).alias("block"))
+    w = Window.partitionBy("file", "block").orderBy("line_no")
     around = lambda r: F.array_join(F.collect_list("line").over(w.rowsBetween(-r, r)), "\n")
     hits = F.filter(F.array(*[F.when(F.col("line").contains(k), F.lit(k)) for k in keywords]), lambda x: x.isNotNull())
-    rows = lines.select("file", "line_no", F.trim("line").alias("line"), F.lower(around(near)).alias("near"), around(far).alias("far"), hits.alias("hits")).where(F.size("hits") > 0)
-    rows = rows.withColumn("keyword", F.explode("hits"))
+    rows = spread.select("file", "line_no", "own", "block", F.trim("line").alias("line"), F.lower(around(near)).alias("near"), around(far).alias("far"), hits.alias("hits"))
+    rows = rows.where((F.size("hits") > 0) & (F.col("own") == F.col("block"))).withColumn("keyword", F.explode("hits"))
     k, line, refused = F.col("keyword"), F.col("line"), F.col("line").startswith("- No")
     piped = (k == "PCA(") | line.contains("Pipeline") | line.contains("scaler")
-    status = (
-        F.when(k.isin(REVIEWED), F.when(refused, "safe").otherwise("warning"))
-        .when(k == "train_test_split", F.when(refused | line.contains("No row-wise random"), "safe").otherwise("fail"))
-        .when(k.isin(FITTED), F.when(F.col("file").isin(supervised) & piped, "safe").otherwise("warning"))
-        .when(k == "LogisticRegressionCV", F.when(F.col("far").contains("Pipeline"), "safe").otherwise("warning"))
-        .when(k.isin(LABELS), F.when(_any(F.col("near"), EXCUSES), "safe").when(_any(F.col("near"), TARGETS), "warning").otherwise("safe"))
-        .otherwise("safe")
-    )
-    return rows.select("file", "line_no", "keyword", status.alias("status"), F.when(status == "fail", "yes").otherwise("no").alias("needs_fix"))
+    fitted, excused = F.col("file").isin(supervised), _any(F.col("near"), EXCUSES)
+    #: The first case that holds: what it is, its status, and why.
+    cases = [
+        (k.isin(REVIEWED) & ~refused, "warning", "stands outside a refusal: see that it is used within folds only"),
+        ((k == "train_test_split") & ~refused & ~line.contains("No row-wise random"), "fail", "a split by rows parts the records of a subject"),
+        (k.isin(REVIEWED) | (k == "train_test_split"), "safe", "the line says that it is not used"),
+        (k.isin(FITTED) & fitted & piped, "safe", "scaling is part of a pipeline, or there are no components"),
+        (k.isin(FITTED) & fitted, "warning", "see that it is fitted to training folds only"),
+        (k.isin(FITTED), "warning", "fitted to all rows: fit for description, not for supervised folds"),
+        ((k == "LogisticRegressionCV") & F.col("far").contains("Pipeline"), "safe", "searched within a fold's pipeline"),
+        (k == "LogisticRegressionCV", "warning", "see that it is searched within a fold's pipeline"),
+        (k.isin(LABELS + METADATA) & excused, "safe", "a label or metadata column in validation, exclusion or description"),
+        ((k == "stage5_cluster") & F.col("file").isin(list(aligned)), "warning", "earlier clusters are aligned with later ones: see that they are no inputs"),
+        (k.isin(LABELS) & _any(F.col("near"), TARGETS), "warning", "a label as a target: see that it is in no feature matrix"),
+        (F.lit(True), "safe", "an occurrence that shows no leak by itself"),
+    ]
+    verdict = F.coalesce(*[F.when(when, F.struct(F.lit(status).alias("status"), F.lit(why).alias("explanation"))) for when, status, why in cases])
+    judged = rows.select("file", "line_no", "keyword", verdict.alias("v"))
+    return judged.select("file", "line_no", "keyword", "v.status", F.when(F.col("v.status") == "fail", "yes").otherwise("no").alias("needs_fix"), "v.explanation")
 
 
 def report_boundary(reports: DataFrame, phrase: str, terms: list[str], guards: list[str] = GUARDS) -> DataFrame:

@@ -54,8 +54,32 @@ def cluster_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.cluster_profiles(members, tops, "cluster", ["sex"]).drop("phenotype"))
 
 
-@query()
+def _held(text: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+
+def _in(words: list[str]) -> str:
+    return "k IN (" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+_AROUND = "string_agg(line, chr(10)) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN {n} PRECEDING AND {n} FOLLOWING)"
+_REFUSED = "starts_with(line, '- No')"
+_STATIC = f"""WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS file, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents),
+w AS (SELECT file, line_no, line AS whole, trim(line) AS line, lower({_AROUND.format(n=3)}) AS near, {_AROUND.format(n=12)} AS far FROM l),
+h AS (SELECT * FROM w, (SELECT unnest([{', '.join(f"'{k}'" for k in A.STATIC_KEYWORDS)}]) AS k) WHERE contains(whole, k)),
+v AS (SELECT file, line_no, k AS keyword, CASE WHEN {_in(A.REVIEWED)} THEN CASE WHEN {_REFUSED} THEN 'safe' ELSE 'warning' END
+  WHEN k = 'train_test_split' THEN CASE WHEN {_REFUSED} OR contains(line, 'No row-wise random') THEN 'safe' ELSE 'fail' END
+  WHEN {_in(A.FITTED)} THEN CASE WHEN file IN ('1', '2') AND (k = 'PCA(' OR contains(line, 'Pipeline') OR contains(line, 'scaler')) THEN 'safe' ELSE 'warning' END
+  WHEN k = 'LogisticRegressionCV' THEN CASE WHEN contains(far, 'Pipeline') THEN 'safe' ELSE 'warning' END
+  WHEN {_in(A.LABELS + A.METADATA)} AND {_held('near', A.EXCUSES)} THEN 'safe'
+  WHEN k = 'stage5_cluster' AND file = '3' THEN 'warning'
+  WHEN {_in(A.LABELS)} AND {_held('near', A.TARGETS)} THEN 'warning' ELSE 'safe' END AS status FROM h)
+SELECT *, CASE WHEN status = 'fail' THEN 'yes' ELSE 'no' END AS needs_fix FROM v"""
+
+
+@query(_STATIC)
 def static_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The keywords of the static scan in the lines of all documents, each judged by the lines around it."""
     lines = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return A.classify_static(lines.select("file", (F.col("at") + 1).alias("line_no"), "line"), supervised=["1", "2"])
+    found = A.classify_static(lines.select("file", (F.col("at") + 1).alias("line_no"), "line"), supervised=["1", "2"], aligned=["3"])
+    return found.drop("explanation")

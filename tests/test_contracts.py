@@ -111,3 +111,27 @@ def test_number_formats(spark):
     df = spark.createDataFrame([(0.000123456, 0.25, 1234567.891, 7), (None, float("nan"), 1.0, None)], "p double, share double, x double, n int")
     got = tables.markdown_table(df, formats={"p": ".3e", "share": ".1%", "x": ".12g"}).split("\n")
     assert got[2:] == ["| 1.235e-04 | 25.0% | 1234567.891 | 7 |", "|  |  | 1 |  |"]
+
+
+def test_static_scan_in_blocks(spark):
+    import random
+
+    rng = random.Random(3)
+    pieces = ["x", "class", "y =", "audit", "LogisticRegressionCV", "Pipeline", "stage5_cluster", "train_test_split", "- No row-wise random"]
+    lines = [(f, i, " ".join(rng.choices(pieces, k=rng.randint(0, 2)))) for f in ("a.py", "s.py") for i in range(1, 201)]
+    df = spark.createDataFrame(lines, "file string, line_no int, line string").repartition(5)
+    key = lambda r: (r["file"], r["line_no"], r["keyword"])
+    whole = sorted(audit.classify_static(df, supervised=[], aligned=["s.py"]).collect(), key=key)
+    for block in (12, 13, 50):
+        assert sorted(audit.classify_static(df, supervised=[], aligned=["s.py"], block=block).collect(), key=key) == whole
+    by_status = {(r["keyword"], r["status"]) for r in whole}
+    assert {("stage5_cluster", "warning"), ("class", "warning"), ("class", "safe"), ("train_test_split", "fail"), ("LogisticRegressionCV", "warning"), ("LogisticRegressionCV", "safe")} <= by_status
+    at = {(f, i): line for f, i, line in lines}
+    for r in whole:
+        near = "\n".join(at.get((r["file"], i), "") for i in range(r["line_no"] - 3, r["line_no"] + 4))
+        far = "\n".join(at.get((r["file"], i), "") for i in range(r["line_no"] - 12, r["line_no"] + 13))
+        if r["keyword"] == "LogisticRegressionCV":
+            assert (r["status"] == "safe") == ("Pipeline" in far)
+        if r["keyword"] == "class":
+            assert (r["status"] == "warning") == ("y =" in near and "audit" not in near)
+        assert r["explanation"]
