@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-
 from dataclasses import dataclass
 from functools import reduce
 
