@@ -9,6 +9,9 @@ from sparkloom.llm.common import free_names, join_hot, let, small, stored
 
 #: What stands for a token that varies: one with a digit.
 FIELD = "<*>"
+#: As many fields may stand side by side.
+MAX_RUN = 3
+_CONTEXT = "array<struct<key:bigint,body:bigint,head:bigint,tail:bigint,place:int,width:int>>"
 _BLANKS = ("\t", "\x0b", "\x0c", "\r")
 
 
@@ -59,21 +62,49 @@ def _voted(tokens: DataFrame, mixed: DataFrame, similarity: float) -> DataFrame:
     return join_hot(tokens, usual, "leaf", "n_lines").withColumn("voted", agree >= similarity * F.size("tokens")).drop("usual", "n_lines")
 
 
-def _masked(rest: DataFrame, similarity: float) -> DataFrame:
-    """Those of the lines that a vote left over which share a template: (line, n, first_doc, last_doc, template).
-
-    A token that no other line of the leaf has in its place is a field; lines that are equal but for their fields, and have
-    not too many of them, form a template. A leaf may hold any number of these."""
-    marked = rest.select("line", "leaf", F.posexplode("tokens").alias("place", "token"))
-    own = marked.groupBy("leaf", "place", "token").agg(F.count("*").alias("n_lines"), F.min("line").alias("line")).where("n_lines = 1")
-    fields = own.groupBy("line").agg(F.collect_set("place").alias("fields"))
-    known = rest.join(stored(fields, "line-fields"), "line", "left").withColumn("fields", F.coalesce("fields", F.array().cast("array<int>")))
-    known = known.where(F.size("tokens") - F.size("fields") >= similarity * F.size("tokens"))
-    mask = F.transform("tokens", lambda x, i: F.when(F.array_contains("fields", i), F.lit(FIELD)).otherwise(x))
+def _contexts(tokens: Column, leaf: Column, depth: int) -> Column:
+    """Of a line's tokens: each run of at most MAX_RUN of them below the leading ones, as (key, body, head, tail, place, width): hashes
+    of what it stands between and where, of the run, and of its two ends. Two keys that clash only offer a place as a field."""
+
+    def of(hashes: Column) -> Column:
+        def run(width: int) -> Column:
+            def at(i: Column) -> Column:
+                own = [F.get(hashes, i + k) for k in range(width)]
+                behind = F.coalesce(F.get(hashes, i + width), F.lit(0).cast("long"))  # the end of the line
+                key = F.xxhash64(leaf, i, F.lit(width), F.get(hashes, i - 1), behind)
+                return F.struct(key.alias("key"), F.xxhash64(*own).alias("body"), own[0].alias("head"), own[-1].alias("tail"), i.alias("place"), F.lit(width).alias("width"))
+
+            last = F.size(hashes) - width
+            return F.when(last >= depth, F.transform(F.sequence(F.lit(depth), F.greatest(last, F.lit(depth))), at))
+
+        return F.concat(*[F.coalesce(run(w), F.array().cast(_CONTEXT)) for w in range(1, MAX_RUN + 1)])
+
+    return let(F.transform(tokens, lambda x: F.xxhash64(x)), of)
+
+
+def _masked(rest: DataFrame, similarity: float, depth: int) -> DataFrame:
+    """Those of the lines that a vote left over which may share a template: (line, n, first_doc, last_doc, template).
+
+    A run of up to MAX_RUN places is a run of fields where lines of the leaf that agree before and behind it differ in both its ends.
+    If these are more places than the share 1 - similarity of the line, those with the most different runs are the fields, the
+    first of equal ones. Lines that are equal but for their fields share a template, whatever else their leaf holds."""
+    runs = stored(rest.select("line", F.inline(_contexts(F.col("tokens"), F.col("leaf"), depth))), "line-contexts")
+    bodies = runs.groupBy("key", "body").agg(F.count("*").alias("n_lines"), F.min("head").alias("head"), F.min("tail").alias("tail"))
+    ends = [f(c).alias(f"{c}_{f.__name__}") for c in ("head", "tail") for f in (F.min, F.max)]
+    varied = bodies.groupBy("key").agg(F.count("*").alias("n_bodies"), F.sum("n_lines").alias("n_lines"), *ends)
+    varied = stored(varied.where("head_min <> head_max and tail_min <> tail_max").select("key", "n_bodies", "n_lines"), "varied-contexts")
+    found = join_hot(runs.select("line", "key", "place", "width"), varied, "key", "n_lines")
+    found = found.select("line", "n_bodies", F.explode(F.sequence("place", F.expr("place + width - 1"))).alias("place"))
+    found = found.groupBy("line", "place").agg(F.max("n_bodies").alias("n_bodies"))
+    ranked = found.groupBy("line").agg(F.sort_array(F.collect_list(F.struct((-F.col("n_bodies")).alias("fewer"), "place"))).alias("ranked"))
+    known = rest.join(stored(ranked, "line-fields"), "line")
+    most = F.size("tokens") - F.ceil(F.round(similarity * F.size("tokens"), 6)).cast("int")
+    fields = F.transform(F.slice("ranked", F.lit(1), most), lambda x: x["place"])
+    mask = let(fields, lambda own: F.transform("tokens", lambda x, i: F.when(F.array_contains(own, i), F.lit(FIELD)).otherwise(x)))
     return known.select("line", "n", "first_doc", "last_doc", _hash(F.col("leaf"), F.array_join(mask, " ")).alias("template"))
 
 
-def _recurring(docs: DataFrame, held: DataFrame, min_words: int, similarity: float, max_broadcast_rows: int) -> DataFrame:
+def _recurring(docs: DataFrame, held: DataFrame, min_words: int, depth: int, similarity: float, max_broadcast_rows: int) -> DataFrame:
     pick = F.xxhash64("doc_id", "body", "at")
     counts = (F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min(pick).alias("pick"))
     of_line = stored(held.groupBy("leaf", "line").agg(*counts), "lines")
@@ -87,7 +118,7 @@ def _recurring(docs: DataFrame, held: DataFrame, min_words: int, similarity: flo
     judged = stored(_voted(tokens, mixed, similarity), "voted-lines")
     alike = judged.where("voted").select("line", "n", "first_doc", "last_doc", _hash(F.col("leaf")).alias("template"))
     rest = judged.where("not voted").select("leaf", "line", "n", "first_doc", "last_doc", "tokens")
-    general = stored(alike.unionByName(_masked(rest, similarity)), "template-lines")
+    general = stored(alike.unionByName(_masked(rest, similarity, depth)), "template-lines")
     whole = general.groupBy("template").agg(F.count("*").alias("n_lines"), F.min("first_doc").alias("first"), F.max("last_doc").alias("last"))
     many = stored(whole.where("n_lines > 1"), "line-templates")
     named = join_hot(general.select("line", "n", "template"), many, "template", "n_lines")
@@ -103,13 +134,14 @@ def recurring_lines(docs: DataFrame, *, min_words: int = 8, depth: int = 4, simi
 
     Lines of min_words tokens or more with the same token count and the same depth leading tokens (tokens with a
     digit count as equal) share a leaf. A leaf's first template has at each place its most frequent token; lines that
-    agree with it in at least the share similarity of their tokens take it. Among the others, a token that only one
-    line of the leaf has in its place is a field, and lines that are equal but for fields, at most the share
-    1 - similarity of their tokens, take a template. Any other line is a template by itself, and so is every line
-    of fewer than min_words tokens: too little of it would be left to tell a template by.
+    agree with it in at least the share similarity of their tokens take it. Among the others, a run of one to three tokens is
+    a run of fields where lines of the leaf have different ones between the same two neighbours (or before the end), and
+    lines that are equal but for fields, at most the share 1 - similarity of their tokens, take a template; what else the
+    leaf holds does not matter. Any other line is a template by itself, and so is every line of fewer than min_words
+    tokens: too little of it would be left to tell a template by.
     """
     held = stored(_named_lines(docs, min_words, depth), "document-lines")
-    return _recurring(docs, held, min_words, similarity, max_broadcast_rows)
+    return _recurring(docs, held, min_words, depth, similarity, max_broadcast_rows)
 
 
 def dedup_lines(docs: DataFrame, *, min_words: int = 8, depth: int = 4, similarity: float = 0.8, max_broadcast_rows: int = 200_000) -> DataFrame:
@@ -122,7 +154,7 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 8, depth: int = 4, similari
     and do not count; rows with the same doc_id are parts of one document. Other columns pass through.
     """
     held = stored(_named_lines(docs, min_words, depth), "document-lines")
-    found = stored(_recurring(docs, held, min_words, similarity, max_broadcast_rows).select("line", "first_doc", "n"), "recurring-lines")
+    found = stored(_recurring(docs, held, min_words, depth, similarity, max_broadcast_rows).select("line", "first_doc", "n"), "recurring-lines")
     drop = join_hot(held, found, "line", "n").where("doc_id <> first_doc")
     out = docs.drop("n_lines", "n_dropped")
     doc, body, gone, rest = free_names(out.columns, "_line_doc", "_line_body", "_line_drop", "_line_rest")

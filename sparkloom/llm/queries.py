@@ -152,9 +152,13 @@ places AS (SELECT n, head, c, unnest(tokens) AS token, unnest(range(0, n)) AS pl
 votes AS (SELECT n, head, place, token, sum(c) AS v FROM places GROUP BY n, head, place, token QUALIFY row_number() OVER (PARTITION BY n, head, place ORDER BY sum(c) DESC, token DESC) = 1),
 usual AS (SELECT n, head, list(token ORDER BY place) AS usual FROM votes GROUP BY ALL),
 judged AS (SELECT tokens, n, head, len(list_filter(list_zip(tokens, usual), lambda z: z[1] = z[2])) >= 0.8 * n AS voted FROM o JOIN usual USING (n, head)),
-spread AS (SELECT n, head, tokens, unnest(tokens) AS token, unnest(range(0, n)) AS place FROM judged WHERE NOT voted),
-marked AS (SELECT *, count(*) OVER (PARTITION BY n, head, place, token) = 1 AS field FROM spread),
-masks AS (SELECT n, head, tokens, list(CASE WHEN field THEN '<*>' ELSE token END ORDER BY place) AS mask FROM marked GROUP BY n, head, tokens HAVING n - count(*) FILTER (field) >= 0.8 * n),
+rest AS (SELECT n, head, tokens, unnest(range(1, 4)) AS r FROM judged WHERE NOT voted),
+places_of AS (SELECT *, unnest(range(5, n - r + 2)) AS p FROM rest),
+spread AS (SELECT n, head, tokens, r, p, tokens[p : p + r - 1] AS body, tokens[p - 1] AS before, coalesce(tokens[p + r], '') AS behind FROM places_of),
+varied AS (SELECT n, head, r, p, before, behind, count(DISTINCT body) AS v FROM spread GROUP BY ALL HAVING count(DISTINCT body[1]) > 1 AND count(DISTINCT body[r]) > 1),
+maybe AS (SELECT n, head, tokens, v, unnest(range(p, p + r)) AS place FROM spread JOIN varied USING (n, head, r, p, before, behind)),
+fields AS (SELECT n, head, tokens, place FROM maybe GROUP BY n, head, tokens, place QUALIFY row_number() OVER (PARTITION BY n, head, tokens ORDER BY max(v) DESC, place) <= n - ceil(0.8 * n)),
+masks AS (SELECT n, head, tokens, list_transform(tokens, lambda x, i: CASE WHEN list_contains(own, i) THEN '<*>' ELSE x END) AS mask FROM (SELECT n, head, tokens, list(place) AS own FROM fields GROUP BY n, head, tokens)),
 general AS (SELECT tokens, n, head, NULL AS mask FROM judged WHERE voted UNION ALL SELECT tokens, n, head, mask FROM masks),
 many AS (SELECT *, n || ' ' || array_to_string(head, ' ') || ' / ' || coalesce(array_to_string(mask, ' '), '') AS template FROM general QUALIFY count(*) OVER (PARTITION BY n, head, mask) > 1),
 named AS (SELECT h.*, coalesce(many.template, array_to_string(h.tokens, ' ')) AS template, many.tokens IS NOT NULL AS general FROM h LEFT JOIN many USING (tokens)),

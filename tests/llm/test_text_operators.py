@@ -275,11 +275,20 @@ def deduplicated(rows):
             usual = [max((n, x.encode()) for x, n in v.items())[1].decode() for v in votes]
             template |= {t: leaf for t in kinds if sum(a == b for a, b in zip(t, usual)) >= 0.8 * len(t)}
             rest = [t for t in kinds if t not in template]
-            seen = collections.Counter(x for t in rest for x in enumerate(t))
+            context = collections.defaultdict(set)
+            runs = lambda t: [((i, k, t[i - 1], t[i + k : i + k + 1]), t[i : i + k]) for k in (1, 2, 3) for i in range(4, len(t) - k + 1)]
             for t in rest:
-                mask = tuple("<*>" if seen[x] == 1 else x[1] for x in enumerate(t))
-                if sum(seen[x] > 1 for x in enumerate(t)) >= 0.8 * len(t):
-                    template[t] = (leaf, mask)
+                for key, run in runs(t):
+                    context[key].add(run)
+            for t in rest:
+                varied = collections.Counter()
+                for key, _ in runs(t):
+                    if all(len({run[end] for run in context[key]}) > 1 for end in (0, -1)):
+                        for i in range(key[0], key[0] + key[1]):
+                            varied[i] = max(varied[i], len(context[key]))
+                fields = sorted(varied, key=lambda i: (-varied[i], i))[: len(t) - -(-8 * len(t) // 10)]
+                if fields:
+                    template[t] = (leaf, tuple("<*>" if i in fields else x for i, x in enumerate(t)))
     sizes = collections.Counter(template.values())
     template = {t: x for t, x in template.items() if sizes[x] > 1}
     whole = collections.defaultdict(set)
@@ -318,6 +327,21 @@ def test_two_templates_share_a_leaf(spark):
     assert {r.doc_id for r in out if not r.n_dropped} == {0, 9}
 
 
+@pytest.mark.parametrize("others", [[], ["the daily report of the weather that was read by many people in town"] * 30, ["the daily report of user ann has never sent to city rome right now"] * 30])
+def test_templates_do_not_depend_on_their_neighbours(spark, others):
+    rows = [f"the daily report of user {u} has been sent to city {c} right now" for u in ("ann", "bob", "cid", "dot") for c in ("rome", "oslo", "lima")]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows + others)], "doc_id long, text string")
+    out = line_templates.dedup_lines(df).collect()
+    assert sum(r.n_dropped for r in out if r.doc_id < 12) == 11
+    assert sum(r.n_dropped for r in out if r.doc_id >= 12) == max(len(others) - 1, 0)
+
+
+def test_fields_side_by_side(spark):
+    rows = ["we sell the best of all the fruit in this town"] * 9 + [f"we sell the best wine of {a} {b} to all our guests" for a, b in (("ann", "poe"), ("bob", "roe"), ("cid", "soe"))]
+    out = line_templates.dedup_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in out if not r.n_dropped} == {0, 9}
+
+
 def test_table_rows_and_clashing_names(spark):
     df = spark.createDataFrame([(1, "1 2 3 4 5 6 7 8", "a"), (2, "9 8 7 6 5 4 3 2", "b"), (3, "9 8 7 6 5 4 3 2", "c")], "doc_id long, text string, _line_drop string")
     out = line_templates.dedup_lines(df)
