@@ -36,8 +36,20 @@ MARKED = frozenset(
 )
 #: Those among them that mark reader comments, however long these are.
 COMMENTS = frozenset("comment comments commentlist discussion disqus replies reply respond responses".split())
-#: Words before a mark that say something of an element around the marked one.
+#: Words before and after a mark that say something of an element around the marked one, and words of class and id
+#: that name such an element.
 ABOUT = frozenset("has have no non not with without".split())
+STATES = frozenset("allowed closed disabled enabled layout mode off on open opened page template theme view".split())
+LAYOUTS = frozenset("layout page template theme".split())
+#: Words that say nothing beside a mark, and marks that paragraphs of an article may have.
+PARTS = frozenset(
+    "area author bar block body bottom box button buttons caption container content count date footer form group heading icon info inner item items label left "
+    "link links list meta name outer panel post right row section slot small text title top unit wrap wrapper".split()
+)
+LEADS = frozenset("teaser header print".split())
+#: The share of its points that an element keeps if it is marked, and if it is marked but named for a layout; and the
+#: points that a marked one needs on a page without any others.
+KEPT, KEPT_LAYOUT, LEAST = 0.1, 0.5, 8.0
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)"
     r"((?:[\s/]++|=|[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?)?)*+)>?",
@@ -139,19 +151,27 @@ class _Page:
             self._cut(depth)
 
 
-def _marked(value: str) -> frozenset[str]:
-    """The words of a class or id that mark no article text; one that only says what the element has or lacks does not count."""
+def _marked(value: str) -> tuple[frozenset[str], bool, bool]:
+    """Of a class or id: its words that mark no article text, except those that only say what an element has, lacks or is set to;
+    whether another word has a meaning of its own; and whether one names a layout."""
     found: set[str] = set()
+    other = layout = False
     for name in value.split():
         own = [w.lower() for w in _WORDS.findall(name)]
-        found.update(w for before, w in zip(["", *own], own) if w in MARKED and before not in ABOUT)
-    return frozenset(found)
+        for before, w, after in zip(["", *own], own, [*own[1:], ""]):
+            if w in MARKED and before not in ABOUT and after not in STATES:
+                found.add(w)
+            else:
+                other |= w not in MARKED and w not in PARTS
+                layout |= w in LAYOUTS
+    return frozenset(found), other, layout
 
 
-def _marks(attrs: str) -> tuple[bool, bool, bool]:
-    """Of a start tag's attributes: whether they hide the element, whether they mark it as no article text, and whether the
-    mark is of reader comments."""
-    hides, roles, words = False, False, frozenset()
+def _marks(attrs: str, paragraph: bool) -> tuple[bool, float, bool]:
+    """Of a start tag's attributes: whether they hide the element, the share of its points that they leave it, and whether
+    they mark it as reader comments. On paragraphs and what lies in them a mark counts if no word beside it has a
+    meaning of its own."""
+    hides, roles, other, layout, words = False, False, False, False, frozenset()
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -161,31 +181,40 @@ def _marks(attrs: str) -> tuple[bool, bool, bool]:
         elif name == "role":
             roles |= value.lower() in ROLES
         elif name in ("class", "id"):
-            words |= _marked(value)
-    return hides, roles or bool(words), bool(words & COMMENTS)
+            found, odd, wide = _marked(value)
+            words, other, layout = words | found, other or odd, layout or wide
+    if paragraph and (other or words <= LEADS):
+        words = frozenset()
+    share = KEPT if roles else 1.0
+    return hides, min(share, KEPT_LAYOUT if layout else KEPT) if words else share, bool(words & COMMENTS)
+
+
+def _points(text: str) -> float:
+    """What a paragraph passes to the elements around it: more for commas and, up to a limit, for length."""
+    return 1 + len(_COMMAS.findall(text)) + min(len(text) / 100, 3)
 
 
-def _wrappers(parent: list[int], marked: list[bool], never: list[bool], comments: list[bool], prose: list[int], least: int = 250, share: float = 0.1) -> None:
-    """Takes the mark off elements that are around the text rather than beside it.
+def _wrappers(parent: list[int], share: list[float], never: list[bool], comments: list[bool], points: list[float]) -> None:
+    """Takes the mark off elements that are around the text rather than beside it, by raising their share to 1.
 
-    If the prose outside all marked elements is less than share of that in one of them, of at least least characters, the
-    marks would leave next to nothing of the page; so the outermost element with most of the prose loses its mark, and so on
-    inwards, until what is left unmarked suffices. Reader comments stay marked."""
+    A marked element's points count by its share only. The outermost one with most points loses its mark if these are still more
+    than those of all unmarked text, and so on inwards. Reader comments stay marked, and so does what has fewer than LEAST points
+    and is not named for a layout."""
     count = len(parent)
     children: list[list[int]] = [[] for _ in range(count)]
-    total, under = [0] * count, [False] * count
+    total, under = [0.0] * count, [False] * count
     for n in range(1, count):
         never[n] |= never[parent[n]]
         children[parent[n]].append(n)
     for n in range(count - 1, -1, -1):
-        total[n] += 0 if never[n] else prose[n]
+        total[n] += 0 if never[n] else points[n]
         if n:
             total[parent[n]] += total[n]
-    outside = 0
-    tops: list[tuple[int, int]] = []
+    outside = 0.0
+    tops: list[tuple[float, int]] = []
 
     def add(start: int) -> None:
-        """Collects the outermost marked elements below start and the prose around them."""
+        """Collects the outermost marked elements below start and the points around them."""
         nonlocal outside
         stack = [start]
         while stack:
@@ -193,28 +222,29 @@ def _wrappers(parent: list[int], marked: list[bool], never: list[bool], comments
             if never[n] or under[n]:
                 continue
             under[n] = True
-            outside += prose[n]
+            outside += points[n]
             for c in children[n]:
-                if not marked[c]:
+                if share[c] == 1:
                     stack.append(c)
-                elif not comments[c]:
-                    heapq.heappush(tops, (-total[c], c))
+                elif not comments[c] and (total[c] >= LEAST or share[c] > KEPT):
+                    heapq.heappush(tops, (-share[c] * total[c], c))
 
     add(0)
     while tops:
-        best = heapq.heappop(tops)[1]
-        if total[best] < least or outside >= share * total[best]:
+        most, best = heapq.heappop(tops)
+        if outside >= -most:
             return
-        marked[best] = False
+        share[best] = 1.0
         add(best)
 
 
 def main_text(source: str | None) -> str:
     """The article of a page: its blocks in order, one a line; empty if there is none.
 
-    What is hidden, marked as no article text or made up of links is left out; a mark does not count on an element that
-    nearly all prose of the page lies in. Every other paragraph passes points,
-    one and more for its length and commas, to the elements around it, less with each level; an element's
+    Every paragraph has points, one and more for its length and commas. An element that is marked as no article text keeps a
+    tenth of its points, or half if its class also names a layout; it is left out unless these are more than the points of all unmarked text,
+    and at least LEAST before or named for a layout. What is hidden, reader comments, or made up of links is left out anyway.
+    The others pass their points to the elements around them, less with each level; an element's
     sum is discounted by the share of its text that lies in links. The best element is kept, or the article or
     main element around it, with those of its siblings that score a fifth as much, and prose and headings beside it.
     """
@@ -225,24 +255,28 @@ def main_text(source: str | None) -> str:
     for n in range(count - 1, 0, -1):
         around[parent[n]] |= around[n]
     in_link, paragraph = [False] * count, [False] * count
-    never, marked, comments = [False] * count, [False] * count, [False] * count
+    never, share, comments = [False] * count, [1.0] * count, [False] * count
     for n in range(1, count):
         inside[n] |= inside[parent[n]]
         nested[n] = nested[parent[n]] or tag[parent[n]] == "article"
         in_link[n] = tag[n] == "a" or in_link[parent[n]]
         paragraph[n] = tag[n] in PARAGRAPHS or tag[n] not in BLOCKS and paragraph[parent[n]]
-        hides, marks, comments[n] = _marks(page.attrs[n]) if page.attrs[n].strip() else (False, False, False)
+        hides, share[n], comments[n] = _marks(page.attrs[n], paragraph[n]) if page.attrs[n].strip() else (False, 1.0, False)
         named = tag[n] in UNLESS_AROUND and not (tag[n] == "header" and inside[n])
         comments[n] |= tag[n] == "article" and nested[n]
         never[n] = hides or tag[n] in NEVER or tag[n] == "label" and not paragraph[parent[n]]
-        marked[n] = tag[n] == "article" and nested[n] or (named or marks) and not around[n] and tag[n] not in ("html", "body")
-    prose = [0] * count
+        if tag[n] == "article" and nested[n] or named:
+            share[n] = min(share[n], KEPT)
+        if tag[n] in ("html", "body") or around[n] and not (tag[n] == "article" and nested[n]):
+            share[n] = 1.0
+    points = [0.0] * count
     for owner, run in page.blocks:
-        prose[owner] += sum(len(t.strip()) for n, t in run if not in_link[n] and not never[n])
-    _wrappers(parent, marked, list(never), comments, prose)
+        text = "".join(t for n, t in run if not in_link[n] and not never[n]).strip()
+        points[owner] += _points(text) if text else 0
+    _wrappers(parent, share, list(never), comments, points)
     gone = [False] * count
     for n in range(1, count):
-        gone[n] = gone[parent[n]] or never[n] or marked[n]
+        gone[n] = gone[parent[n]] or never[n] or share[n] < 1
     chars, linked, links = [0] * count, [0] * count, [t == "a" for t in tag]
     blocks: list[tuple[int, str]] = []
     for owner, run in page.blocks:
@@ -261,10 +295,9 @@ def main_text(source: str | None) -> str:
     blocks = [(n, t) for n, t in blocks if not gone[n]]
     score = [0.0] * count
     for owner, text in blocks:
-        points = 1 + len(_COMMAS.findall(text)) + min(len(text) / 100, 3)
         n = parent[owner] if tag[owner] in PARAGRAPHS else owner
         for level in range(6):
-            score[n] += points / (1, 2, 6, 9, 12, 15)[level]
+            score[n] += _points(text) / (1, 2, 6, 9, 12, 15)[level]
             if n == 0:
                 break
             n = parent[n]

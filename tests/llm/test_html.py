@@ -26,6 +26,29 @@ def test_marks_beside_an_article_still_count():
     assert main_text("<body><div class='cookie-notice'><p>We use cookies.</p></div></body>") == ""
 
 
+PARTS = [f"Paragraph {i} of it, which goes on, and says more than one thing about the matter at hand, at some length." for i in "abcde"]
+BODY = "".join(f"<p>{x}</p>" for x in PARTS)
+
+
+@pytest.mark.parametrize("attrs", ["class='comments-enabled'", "id='comments-page'", "class='sidebar-open'", "class='page-with-ads layout sidebar'"])
+def test_marks_of_states_and_layouts(attrs):
+    assert main_text(f"<body><div {attrs}>{BODY}</div></body>") == "\n".join(PARTS)
+
+
+def test_marks_lower_points():
+    assert main_text("<body><div class='sidebar-left layout'><p>A short note.</p></div></body>") == "A short note."
+    lead = "The lead stands outside, before the rest. " * 7
+    assert main_text(f"<body><p>{lead}</p><div class='layout-with-rail sidebar'>{BODY}</div></body>") == "\n".join([lead.strip(), *PARTS])
+    menu, rail = "<div class='layout menu'><p>Home, news.</p></div>", "<div class='page-layout sidebar'><p>Read this, too.</p></div>"
+    comments = "<div class='comments-section'><p>" + "Nice article, I like it, really. " * 60 + "</p></div>"
+    assert main_text(f"<body>{menu}<div>{BODY}</div>{rail}{comments}</body>") == "\n".join(PARTS)
+
+
+def test_marks_on_paragraphs():
+    page = "<article><p class='teaser'>The lead, in short.</p><p class='social-theory'>Of theory.</p><p class='ad-box'>Buy, buy!</p><p>The rest, <span class='share-buttons'>share</span>of it.</p></article>"
+    assert main_text(page) == "The lead, in short.\nOf theory.\nThe rest, of it."
+
+
 def test_labels():
     assert main_text("<div><p>The word <label>inside</label> stays, of course, here.</p><p>And more of it, too.</p></div>") == "The word inside stays, of course, here.\nAnd more of it, too."
     assert "Name" not in main_text(f"<div><div><label>Name</label><input></div>{ARTICLE}</div>")
