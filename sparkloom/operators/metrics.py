@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from sparkloom.functions.expressions import share
 from sparkloom.operators.ranking import average_rank, cumulative_counts
 from sparkloom.sources.shared import few, stored
 
+_STRIP = 256  # rows of a block whose distances from another are in memory at once
 
 def confusion(df: DataFrame, by: list[str], y: str, score: str, threshold: float = 0.5) -> DataFrame:
     """(*by, n, tn, fp, fn, tp) of a binary score."""
@@ -162,30 +164,57 @@ def centroid_quality(long: DataFrame, point: str, label: str) -> DataFrame:
     return ch.crossJoin(db).select("calinski_harabasz", "davies_bouldin")
 
 
-def silhouette(points: DataFrame, point: str, label: str, vector: str, *, block: int = 512) -> DataFrame:
+def silhouette(points: DataFrame, point: str, label: str, vector: str, *, block: int = 16_384) -> DataFrame:
     """(point, label, s): the Euclidean silhouette of each point.
 
-    Exact, so every point meets every other: points go into blocks by hash, and each pair of blocks is one small matrix product in a
-    task. Only sums of distances by point and cluster leave a task."""
-    blocks = points.select(F.col(point).cast("long").alias("p"), F.col(label).cast("int").alias("l"), F.col(vector).cast("array<double>").alias("v"))
-    n = blocks.count()
-    count = max(1, -(-n // block))
-    blocks = blocks.withColumn("b", F.pmod(F.xxhash64("p"), F.lit(count)).cast("int")).groupBy("b").agg(F.collect_list(F.struct("p", "l", "v")).alias("rows"))
-    left = blocks.select(F.col("b").alias("i"), F.col("rows").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("b"))
-    pairs = left.join(blocks.withColumnRenamed("rows", "y"), "b").select("x", "y")
-
-    def distances(batches):
+    Exact, so every point meets every other: points go into blocks by hash, and a task takes a pair of blocks, whose distances it
+    looks at a few rows at a time and only once for both. A block is sent to half of all others; only sums of distances by point and
+    cluster leave a task."""
+    rows = points.select(F.col(point).cast("long").alias("p"), F.col(label).cast("int").alias("l"), F.col(vector).cast("array<double>").alias("v"))
+    rows = stored(rows, "silhouette-points")
+    count = max(1, -(-rows.count() // block))
+    packed = rows.groupBy(F.pmod(F.xxhash64("p"), F.lit(count)).cast("int").alias("b")).agg(F.sort_array(F.collect_list(F.struct("l", "p", "v"))).alias("r"))
+    packed = stored(packed.select("b", F.col("r.p").alias("p"), F.col("r.l").alias("l"), F.flatten("r.v").alias("v")), "silhouette-blocks")
+    # Block i meets those up to half way round from it; of an even number, the one just opposite only once.
+    steps = F.sequence(F.lit(0), F.when(F.lit(count % 2 == 0) & (F.col("b") >= count // 2), count // 2 - 1).otherwise(count // 2))
+    left = packed.select(F.col("b").alias("i"), F.explode(F.transform(steps, lambda d: F.pmod(F.col("b") + d, F.lit(count)))).alias("j"), *[F.col(c).alias(f"{c}x") for c in "plv"])
+    back = F.sequence(F.lit(0), F.lit(count // 2))
+    right = packed.select(F.col("b").alias("j"), F.explode(F.transform(back, lambda d: F.pmod(F.col("b") - d, F.lit(count)))).alias("i"), *[F.col(c).alias(f"{c}y") for c in "plv"])
+    pairs = left.join(right, ["i", "j"]).select((F.col("i") == F.col("j")).alias("same"), *[f"{c}{side}" for side in "xy" for c in "plv"])
+
+    def sums_of(p: np.ndarray, l: np.ndarray, c: np.ndarray, d: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        """d and n, by point and cluster, as rows."""
+        shape = (len(p), len(c))
+        columns = [np.repeat(p, shape[1]), np.repeat(l, shape[1]), np.tile(c, shape[0]), d.ravel(), np.broadcast_to(n, shape).ravel()]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int64()))], ["p", "l", "c", "d", "n"])
+
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for xs, ys in zip(batch["x"], batch["y"]):
-                a, b = np.array([r["v"] for r in xs]), np.array([r["v"] for r in ys])
-                squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-                d = np.sqrt(np.maximum(squares, 0))
-                p, q, of = np.array([r["p"] for r in xs]), np.array([r["p"] for r in ys]), np.array([r["l"] for r in ys])
-                d[p[:, None] == q[None, :]] = 0
-                for c in np.unique(of):
-                    yield pd.DataFrame({"p": p, "l": [r["l"] for r in xs], "c": c, "d": d[:, of == c].sum(1), "n": int((of == c).sum())})
-
-    sums = pairs.mapInPandas(distances, "p long, l int, c int, d double, n long").groupBy("p", "l", "c").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+            for k in range(batch.num_rows):
+                (p, l, x), (q, m, y) = ([batch.column(f"{c}{side}")[k].values.to_numpy(zero_copy_only=False) for c in "plv"] for side in "xy")
+                same, x, y = batch.column("same")[k].as_py(), x.reshape(len(p), -1), y.reshape(len(q), -1)
+                xx, yy = (x * x).sum(1), (y * y).sum(1)
+                firsts = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
+                n = np.diff(np.r_[firsts, len(m)])
+                runs = np.flatnonzero(np.r_[True, l[1:] != l[:-1], True])
+                for start, end in zip(runs[:-1], runs[1:]):
+                    total = np.zeros(len(q))
+                    for i in range(start, end, _STRIP):
+                        own = slice(i, min(i + _STRIP, end))
+                        d = x[own] @ y.T
+                        d *= -2
+                        d += xx[own, None]
+                        d += yy
+                        np.sqrt(np.maximum(d, 0, out=d), out=d)
+                        if same:
+                            d[p[own, None] == q] = 0
+                        else:
+                            total += d.sum(0)
+                        yield sums_of(p[own], l[own], m[firsts], np.add.reduceat(d, firsts, axis=1), n)
+                    if not same:
+                        yield sums_of(q, m, l[start : start + 1], total[:, None], np.array([end - start]))
+
+    sums = pairs.mapInArrow(distances, "p long, l int, c int, d double, n long").groupBy("p", "l", "c").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
     own = F.col("l") == F.col("c")
     per = sums.groupBy("p", "l").agg(F.max(F.when(own, F.col("n"))).alias("n"), F.max(F.when(own, F.col("d") / F.nullif(F.col("n") - 1, F.lit(0)))).alias("a"), F.min(F.when(~own, F.col("d") / F.col("n"))).alias("b"))
     s = F.when(F.col("n") == 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)))

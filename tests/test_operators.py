@@ -135,3 +135,32 @@ def test_banner_csv(spark, tmp_path):
     assert sorted(map(tuple, out.collect())) == [(1, 2.5, "a"), (2, None, "b")]
     assert tables.read_found(spark, str(tmp_path / "in"), "plain.csv", "id int, x double").count() == 1
     assert tables.markdown_table(spark.createDataFrame([(1, 0.5, "a|b")], "i int, x double, s string")) == "| i | x | s |\n| --- | --- | --- |\n| 1 | 0.5000 | a\\|b |"
+
+
+@pytest.mark.parametrize("block", [1000, 21, 12])
+def test_silhouette_looks_at_each_pair_of_blocks_once(spark, monkeypatch, block):
+    """60 points in 1, 3 and 5 blocks; the least even number of blocks beyond one is tested below."""
+    _silhouettes(spark, monkeypatch, block)
+
+
+def test_silhouette_of_even_numbers_of_blocks(spark, monkeypatch):
+    _silhouettes(spark, monkeypatch, 30)
+    _silhouettes(spark, monkeypatch, 15)
+
+
+def _silhouettes(spark, monkeypatch, block):
+    rng = np.random.default_rng(block)
+    x, label = rng.normal(size=(60, 3)), np.r_[rng.integers(0, 3, 59), 7]
+    x[5] = x[6]
+    df = spark.createDataFrame([(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(label, x))], "id long, l int, v array<double>")
+    met, plain = [], type(df).mapInArrow
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "mapInArrow", lambda self, *a, **b: met.append(self.count()) or plain(self, *a, **b))
+        got = {r.id: r.s for r in metrics.silhouette(df, "id", "l", "v", block=block).collect()}
+    n = -(-60 // block)
+    assert met[0] <= n * (n + 1) // 2
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    for i in range(60):
+        own = (label == label[i]).sum()
+        a, b = d[i, label == label[i]].sum() / max(own - 1, 1), min(d[i, label == c].mean() for c in set(label) - {label[i]})
+        assert got[i] == pytest.approx(0 if own == 1 else (b - a) / max(a, b), abs=1e-6)
