@@ -1,4 +1,4 @@
-"""Near copies by the similarity of shingle sets: candidates by min-hash bands, each pair confirmed exactly."""
+"""Near copies by SimHash fingerprints, and by the similarity of shingle sets: candidates by min-hash bands, each pair confirmed exactly."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from sparkloom.llm.common import components, free_names, join_hot, small, stored
-from sparkloom.llm.simhash import SEED, digests
+from sparkloom.llm.simhash import SEED, classes as fingerprint_classes, digests, fingerprint
 
 #: Two sets of similarity 0.8 share no band of six in 32 with a chance of (1 - 0.8 ** 6) ** 32 = 0.00006; sets of similarity
 #: 0.35 share one with a chance of 0.06.
@@ -112,23 +112,34 @@ def _links(members: DataFrame, sets: DataFrame, min_percent: int) -> DataFrame:
     return first.unionByName(sure).unionByName(_similar(possible, sets, min_percent))
 
 
-def one_of_each(docs: DataFrame, *, width: int = 5, min_percent: int = 80) -> DataFrame:
+def _fingerprint_links(rows: DataFrame, max_bits: int) -> DataFrame:
+    """(a, b): sets joined because texts of rows (fp, key, doc_id) that have them have fingerprints linked by SimHash: the least set of a group with
+    each other one, so copies are not spread into pairs."""
+    of = fingerprint_classes(rows.select("fp", "doc_id"), max_bits).select("fp", "n", "root")
+    held = stored(join_hot(rows.select("fp", "key"), of, "fp", "n").select("root", "key").distinct(), "fingerprint-sets")
+    heads = stored(held.groupBy("root").agg(F.min("key").alias("a"), F.count("*").alias("n")).where("n > 1"), "fingerprint-heads")
+    return join_hot(held, heads, "root", "n").where("key <> a").select("a", F.col("key").alias("b"))
+
+
+def one_of_each(docs: DataFrame, *, width: int = 5, min_percent: int = 80, max_bits: int | None = None) -> DataFrame:
     """The rows of docs that stay when of each group of near copies one row does: that with the smallest doc_id.
 
     Two texts are near copies if min_percent of all the distinct runs of width words (lower-cased, split at ASCII
     white space) that either holds are in both; a group is what such pairs join. Texts with equal sets, and those
-    without words, are one class. Of repeated rows and of rows without a doc_id, which come last, any one stays.
+    without words, are one class. With max_bits, texts whose SimHash fingerprints differ in so many bits or fewer, which
+    simhash.links finds, are near copies too. Of repeated rows and of rows without a doc_id, which come last, any one stays.
     All columns pass through unchanged."""
     # Spark's mapInArrow takes no dots in names.
     names, docs = docs.columns, docs.toDF(*[c if c in ("doc_id", "text") else f"_column_{i}" for i, c in enumerate(docs.columns)])
-    name, kinds, row = free_names(docs.columns, "_copy_key", "_copy_bands", "_copy_row")
-    schema = StructType([*docs.schema, StructField(name, LongType()), StructField(kinds, ArrayType(LongType()))])
+    name, kinds, row, fp = free_names(docs.columns, "_copy_key", "_copy_bands", "_copy_row", "_copy_fp")
+    schema = StructType([*docs.schema, StructField(name, LongType()), StructField(kinds, ArrayType(LongType())), StructField(fp, LongType())])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             sets = [shingles(t.as_py(), width) for t in batch.column("text")]
-            made = [pa.array([_key(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, name, kinds])
+            prints = [None if max_bits is None else fingerprint(t.as_py()) for t in batch.column("text")]
+            made = [pa.array([_key(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64())), pa.array(prints, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, name, kinds, fp])
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
@@ -146,6 +157,9 @@ def one_of_each(docs: DataFrame, *, width: int = 5, min_percent: int = 80) -> Da
     wanted = stored(members.select("key").distinct().join(shown, "key"), "near-copy-shown")
     texts = rows.select(F.col(row).alias("row"), "text").join(small(wanted, 200_000), "row").select("key", "text")
     sets = stored(texts.mapInArrow(items, "key long, items array<long>"), "near-copy-shingles")
-    of = components(_links(members, sets, min_percent), "near-copy-groups").withColumnRenamed("node", "key")
+    joined = _links(members, sets, min_percent)
+    if max_bits is not None:
+        joined = joined.unionByName(_fingerprint_links(rows.select(F.col(fp).alias("fp"), F.col(name).alias("key"), "doc_id"), max_bits)).distinct()
+    of = components(joined, "near-copy-groups").withColumnRenamed("node", "key")
     keep = classes.join(of, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first")["row"].alias(row))
     return rows.join(keep.select(row), row, "left_semi").select(*docs.columns).toDF(*names)

@@ -79,3 +79,22 @@ def test_stages_take_nulls_ties_repeats_and_empty_tables(spark, tmp_path):
             assert sorted(kept) == [1, 2] and len(out) == 2
         elif name == "benchmark_decontamination":
             assert len(out) == 6
+
+
+def test_near_copies_by_fingerprint_go(spark, tmp_path):
+    """Texts whose fingerprints differ in 3 bits or fewer are near copies whatever share of their shingles is equal, and groups join over both kinds."""
+    import random
+
+    from sparkloom.llm.near_copies import shingles
+    from sparkloom.llm.simhash import fingerprint
+
+    draw, found = random.Random(5), None
+    block = " ".join(f"unit{i}" for i in range(12))
+    while found is None:  # a repeated block outweighs single words in a fingerprint, but counts once in a set of shingles
+        a, b = (" ".join([block] * 30 + [f"w{draw.randrange(10**6)}" for _ in range(12)]) for _ in range(2))
+        if bin((fingerprint(a) ^ fingerprint(b)) & (2**64 - 1)).count("1") <= 3:
+            found = a, b
+    x, y = (set(shingles(t, 5).tolist()) for t in found)
+    assert len(x & y) < 0.8 * len(x | y)
+    docs = spark.createDataFrame([(2, found[0], "en", "s", 1), (1, found[1], "en", "s", 1), (3, found[0].replace("unit1 ", "UNIT1 "), "en", "s", 1), (4, "a quite different text of some words", "en", "s", 1)], SCHEMA)
+    assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, str(tmp_path)).collect()) == [1, 4]
