@@ -262,3 +262,18 @@ def test_sparse_map_is_the_ridge(products):
     assert np.allclose(x @ S.ridge_map(v, 0.01), want)
 
 
+
+
+def test_extra_trees_a_batch_at_a_time(spark, rows, monkeypatch):
+    """The driver never has more trees than max_nodes allows; importance and scores are means over all of them."""
+    grown, plain = [], E.fit
+    monkeypatch.setattr(E, "fit", lambda *a, **b: grown.append(plain(*a, **b)) or grown[-1])
+    found, scored = E.explained(rows, [0, 1, 2], 5, rows.select("id", "fold", "vector"), trees=5, max_nodes=3 * 2 * 240 * 2)
+    assert [f.trees for f in grown] == [2, 2, 1] and max(len(f.feature) for f in grown) <= 3 * 2 * 240 * 2
+    assert len({f.cut[0] for f in grown}) == 3
+    want = E._normal(sum(f.trees * E._shares(f, 5) for f in grown)).mean(axis=0)
+    assert np.allclose([r["mean"] for r in found.orderBy("feature").collect()], want)
+    got = scored.orderBy("id").collect()
+    assert len(got) == 240
+    for r in got[::40]:
+        assert r.score == pytest.approx(sum(f.trees * f.probability(np.array([r.vector]), r.fold)[0] for f in grown) / 5)
