@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +31,10 @@ UNION ALL SELECT id, recording, 'features_plus_covariate', 5, round(quantity + e
 def feature_set_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each feature set as a vector of each record, and its sum."""
     rows, sets = records(spark, sf_dir), K.feature_sets(FEATURES, "y")
-    vectors = [rows.select("id", "recording", F.lit(n).alias("feature_set"), F.array(*[F.col(c).cast("double") for c in own]).alias("v")) for n, own in sets.items()]
+    vectors = F.array(*[F.struct(F.lit(n).alias("feature_set"), F.array(*[F.col(c).cast("double") for c in own]).alias("v")) for n, own in sets.items()])
     total = F.aggregate("v", F.lit(0.0), lambda t, x: t + x)
-    return rounded(reduce(DataFrame.unionByName, vectors).select("id", "recording", "feature_set", F.size("v").alias("n_features"), total.alias("total")))
+    each = rows.select("id", "recording", F.explode(vectors).alias("s")).select("id", "recording", "s.*")
+    return rounded(each.select("id", "recording", "feature_set", F.size("v").alias("n_features"), total.alias("total")))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,11 +36,18 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 FEATURES = ["quantity", "extendedprice", "discount", "tax"]
 
 
+#: So many order lines meet their orders in one task, about; few of them are dealt to twelve tasks still.
+LINES_A_TASK = 500_000
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, y, recording, *FEATURES): order lines as repeated records of an order, labelled by whether it is finished."""
+    """(id, y, recording, *FEATURES): order lines as repeated records of an order, labelled by whether it is finished.
+
+    Lines and orders are dealt by order to as many tasks as the lines need, so that a task sorts no more when the tables grow."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").cast("int").alias("y"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("recording"), *[F.col(f"l_{f}").alias(f) for f in FEATURES])
-    return lines.join(orders, "id")
+    parts = max(12, ceil(lines.count() / LINES_A_TASK))
+    return lines.repartition(parts, "id").join(orders.repartition(parts, "id"), "id")
 
 
 RECORDS = """records AS (SELECT l_orderkey AS id, CAST(o_orderstatus = 'F' AS INT) AS y, l_linenumber AS recording,

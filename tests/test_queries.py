@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from sparkloom.plans import ORACLES, QUERIES
+from sparkloom.plans import ORACLES, QUERIES, registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -39,3 +39,12 @@ def test_entry_has_rows(spark):
 
     assert __spark_entry__.entry(spark).count() == 10
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_more_lines_are_dealt_to_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(registry, "LINES_A_TASK", 100)
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert registry.records(spark, SF).rdd.getNumPartitions() == -(-lines // 100)
+    plan = QUERIES["feature_set_projection"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # one task does not hold a join for each set
