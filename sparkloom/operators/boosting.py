@@ -1,7 +1,8 @@
 """Boosted trees of all folds grown together from histograms, and the contributions of features to their margins.
 
 Rows are (id, y, vector, fold). Model f learns from the rows of every other fold. A level of a round's trees takes one
-aggregation, whatever the number of models: tasks add up gradients by model, node, feature and bin, and Spark sums them."""
+aggregation, whatever the number of models: tasks add up gradients by model, node, feature and bin, and Spark sums them. Of two
+children only the one with less cover is summed; the other's sums are what is left of their parent's."""
 
 from __future__ import annotations
 
@@ -14,10 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.sums import array_sums
 from sparkloom.sources.shared import stored
 
 #: Gradients are summed as whole numbers, so that sums in any order agree.
 _SCALE = float(1 << 24)
+#: Rows that are stored and looked at together.
+_ROWS = 4096
 
 
 @dataclass(frozen=True)
@@ -51,21 +55,26 @@ class Trees:
 
     def margins(self, codes: np.ndarray, start: int = 0, end: int | None = None) -> np.ndarray:
         """(rows, models): what trees start to end of each model add up to; the base is not in it."""
-        out = np.zeros((len(codes), len(self.base)))
-        at = np.arange(len(codes))
-        for m in range(len(self.base)):
-            for r in range(start, self.feature.shape[1] if end is None else end):
-                out[:, m] += self.value[m, r, self._nodes(codes, at, m, r, self.feature.shape[2])]
-        return out
-
-    def _nodes(self, codes: np.ndarray, at: np.ndarray, m: int, r: int, size: int) -> np.ndarray:
-        """The node that each row reaches in a tree of size nodes."""
-        node = np.zeros(len(codes), int)
-        feature, cut = self.feature[m, r], self.bin[m, r]
-        for _ in range(int(np.log2(size + 1)) - 1):
-            f = feature[node]
-            node = np.where(f < 0, node, 2 * node + 1 + (codes[at, np.maximum(f, 0)] > cut[node]))
-        return node
+        return self._margins(np.ascontiguousarray(codes.T), start, self.feature.shape[1] if end is None else end)
+
+    def _margins(self, by_feature: np.ndarray, start: int, end: int) -> np.ndarray:
+        out = np.zeros((len(self.base), by_feature.shape[1]))
+        for m in range(len(out)):
+            for r in range(start, end):
+                out[m] += self._reached(by_feature, m, r, self.value[m, r])
+        return out.T
+
+    def _reached(self, by_feature: np.ndarray, m: int, r: int, what: np.ndarray, node: int = 0) -> np.ndarray:
+        """By row, what has at the node that the row reaches in a tree; one number if all rows reach one node."""
+        f = 2 * node + 1 < len(what) and int(self.feature[m, r, node])
+        if f is False or f < 0:
+            return what[node]
+        left, right = (self._reached(by_feature, m, r, what, 2 * node + i) for i in (1, 2))
+        return np.where(by_feature[f] <= int(self.bin[m, r, node]), left, right)
+
+    def rounds(self, start: int, end: int) -> Trees:
+        """The trees of rounds start to end alone, for tasks that need no others."""
+        return Trees(self.cuts, self.base, *(x[:, start:end].copy() for x in (self.feature, self.bin, self.value, self.cover, self.gain)))
 
 
 def _codes(vectors: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
@@ -94,8 +103,9 @@ def bins_of(rows: DataFrame, width: int, bins: int) -> list[np.ndarray]:
 
 
 def binned(rows: DataFrame, cuts: list[np.ndarray], models: int, rows_a_task: int = 20_000) -> tuple[DataFrame, int]:
-    """((draw, y, fold, codes, margins), parts), stored in as many parts as the rows need: draw is a number by which rows are
-    drawn, codes has a byte for each feature, margins a zero for each model. A row without a label does not teach."""
+    """((draw, y, fold, codes, margins), parts), stored in as many parts as the rows need, up to 4,096 rows together as the bytes of
+    arrays: draw is a number by which rows are drawn, codes has a byte for each feature, margins a zero for each model. A row
+    without a label does not teach."""
     parts = max(1, ceil(rows.count() / rows_a_task))
     taught = rows.where("y is not null").select(F.xxhash64("id").alias("draw"), F.col("y").cast("double").alias("y"), F.col("fold").cast("int").alias("fold"), F.col("vector").cast("array<double>").alias("vector"))
 
@@ -103,16 +113,24 @@ def binned(rows: DataFrame, cuts: list[np.ndarray], models: int, rows_a_task: in
         for batch in batches:
             if batch.num_rows:
                 codes = _codes(_matrix(batch.column("vector")), cuts)
-                zeros = pa.array([[0.0] * models] * batch.num_rows, pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("draw", "y", "fold")), pa.array([c.tobytes() for c in codes], pa.binary()), zeros], ["draw", "y", "fold", "codes", "margins"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("draw", "y", "fold")), pa.array([c.tobytes() for c in codes], pa.binary())], ["draw", "y", "fold", "codes"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, _ROWS):
+                own = batch.slice(i, _ROWS)
+                block = [own.column("draw").to_numpy().tobytes(), own.column("y").to_numpy().tobytes(), own.column("fold").to_numpy().tobytes(), b"".join(own.column("codes").to_pylist()), bytes(8 * models * own.num_rows)]
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in block], ["draw", "y", "fold", "codes", "margins"])
 
-    coded = taught.mapInArrow(code, "draw long, y double, fold int, codes binary, margins array<double>")
-    return stored(coded.repartition(parts), "binned"), parts
+    coded = taught.mapInArrow(code, "draw long, y double, fold int, codes binary").repartition(parts)
+    return stored(coded.mapInArrow(pack, "draw binary, y binary, fold binary, codes binary, margins binary"), "binned"), parts
 
 
-def _read(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
-    codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(-1, width)
-    return codes, _matrix(batch.column("margins"))
+def _blocks(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(draw, y, fold, codes, margins) of each stored block: codes (rows, features), margins (rows, models)."""
+    for row in zip(*(batch.column(c) for c in ("draw", "y", "fold", "codes", "margins"))):
+        draw, y, fold, codes, margins = (np.frombuffer(v.as_buffer(), t) for v, t in zip(row, (np.int64, float, np.int32, np.uint8, float)))
+        yield draw, y, fold, codes.reshape(-1, width), margins.reshape(len(draw), -1)
 
 
 def _drawn(draw: np.ndarray, share: float, seed: int) -> np.ndarray:
@@ -124,40 +142,35 @@ def _drawn(draw: np.ndarray, share: float, seed: int) -> np.ndarray:
     return (x >> np.uint64(11)).astype(float) / (1 << 53) < share
 
 
-def histograms(table: DataFrame, trees: Trees, done: int, r: int, level: int, held: list[int], options: Options, parts: int = 2) -> np.ndarray:
-    """(model, node of the level, feature, bin, 2): sums of first and second derivatives of the log loss over the rows that a
-    model learns from in round r. margins of the table hold the first done rounds; of one part, its only task has the sums."""
-    width, nodes, models, bins = len(trees.cuts), 1 << level, len(held), options.bins
+def histograms(table: DataFrame, trees: Trees, done: int, r: int, slots: np.ndarray, held: list[int], options: Options, parts: int = 2) -> np.ndarray:
+    """(model, slot, feature, bin, 2): sums of first and second derivatives of the log loss over the rows that a model learns from
+    in round r. slots (models, nodes down to the level) tells each node's slot, -1 for nodes whose rows are not summed. margins
+    of the table hold the first done rounds."""
+    width, models, bins, count, near = len(trees.cuts), len(held), options.bins, int(slots.max()) + 1, trees.rounds(done, r + 1)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((models, nodes * width * bins, 2), np.int64)
-        for batch in batches:
-            codes, margins = _read(batch, width)
-            margins = margins + trees.base + trees.margins(codes, done, r)
-            y, fold, draw = (batch.column(c).to_numpy() for c in ("y", "fold", "draw"))
-            at = np.arange(len(codes))
+    def add(batch: pa.RecordBatch) -> np.ndarray:
+        total = np.zeros((models, 2, count * width * bins))
+        at, own_at, weights = np.empty((_ROWS, width), np.intp), np.empty((_ROWS, width), np.intp), np.empty((_ROWS, width))
+        for draw, y, fold, codes, margins in _blocks(batch, width):
+            by_feature = np.ascontiguousarray(codes.T)
+            margins = margins + near.base + near._margins(by_feature, 0, r - done)
+            place = np.add(codes, np.arange(width) * bins, out=at[: len(codes)])
             for m in range(models):
-                node = trees._nodes(codes, at, m, r, 2 * nodes - 1) - (nodes - 1)
-                own = np.flatnonzero((fold != held[m]) & (node >= 0) & _drawn(draw, options.rows, options.seed + 1000 * r + m))
+                slot = np.broadcast_to(near._reached(by_feature, m, r - done, slots[m]), len(codes))
+                own = np.flatnonzero((fold != held[m]) & (slot >= 0) & _drawn(draw, options.rows, options.seed + 1000 * r + m))
                 p = 1 / (1 + np.exp(-margins[own, m]))
-                place = ((node[own, None] * width + np.arange(width)) * bins + codes[own]).ravel()
+                cells, weight = np.take(place, own, axis=0, out=own_at[: len(own)], mode="clip"), weights[: len(own)]
+                if count > 1:
+                    cells += slot[own, None] * (width * bins)
                 for i, d in enumerate((p - y[own], p * (1 - p))):
                     # Whole numbers below 2 ** 53 add up exactly as doubles.
-                    total[m, :, i] += np.bincount(place, np.repeat(np.rint(d * _SCALE), width), total.shape[1]).astype(np.int64)
-        sums = total.reshape(models * nodes, width, bins * 2)
-        keys = [(g, j) for g in range(models * nodes) for j in range(width) if sums[g, j].any()]
-        for i in range(0, len(keys), 4096):
-            part = keys[i : i + 4096]
-            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in part], pa.int32()), pa.array([j for _, j in part], pa.int32()), pa.array([sums[g, j] for g, j in part], pa.list_(pa.int64()))], ["g", "j", "sums"])
-
-    sums = table.mapInArrow(add, "g int, j int, sums array<bigint>")
-    if parts > 1:
-        sums = sums.groupBy("g", "j").agg(F.expr(f"array({', '.join(f'sum(get(sums, {i}))' for i in range(bins * 2))})").alias("sums"))
-    found = sums.toArrow()
-    out = np.zeros((models * nodes, width, bins * 2))
-    if found.num_rows:
-        out[found["g"].to_numpy(), found["j"].to_numpy()] = found["sums"].combine_chunks().flatten().to_numpy().reshape(-1, bins * 2)
-    return out.reshape(models, nodes, width, bins, 2) / _SCALE
+                    weight[:] = np.rint(d * _SCALE)[:, None]
+                    total[m, i] += np.bincount(cells.ravel(), weight.ravel(), total.shape[2])
+        return total
+
+    found = array_sums(table, add, parts)
+    out = found if found.size else np.zeros((models, 2, count * width * bins))
+    return np.moveaxis(out.reshape(models, 2, count, width, bins), 1, -1) / _SCALE
 
 
 def _weight(g: np.ndarray, h: np.ndarray, o: Options) -> np.ndarray:
@@ -213,7 +226,24 @@ def fit(rows: DataFrame, held: list[int], options: Options = Options(), *, keep_
         for m in range(models):
             columns[m, draws.choice(width, max(1, round(o.columns * width)), replace=False)] = True
         for level in range(o.depth):
-            sums = histograms(table, trees, done, r, level, held, o, parts)
+            slots, smaller = np.full((models, (2 << level) - 1), -1), np.zeros((models, max(1, (1 << level) >> 1)), int)
+            if not level:
+                slots[:, 0] = 0
+            for m, i in np.ndindex(smaller.shape) if level else ():
+                parent = smaller.shape[1] - 1 + i
+                if trees.feature[m, r, parent] >= 0:
+                    smaller[m, i] = 2 * parent + 1 + int(trees.cover[m, r, 2 * parent + 2] < trees.cover[m, r, 2 * parent + 1])
+                    slots[m, smaller[m, i]] = i
+            if slots.max() < 0:
+                break
+            built = histograms(table, trees, done, r, slots, held, o, parts)
+            if not level:
+                sums = built
+            else:
+                whole, sums = sums, np.zeros((models, 1 << level, *built.shape[2:]))
+                for m, i in zip(*np.nonzero(smaller)):
+                    own = smaller[m, i] - (1 << level) + 1
+                    sums[m, own], sums[m, own ^ 1] = built[m, i], whole[m, i] - built[m, i]
             for m in range(models):
                 for i in range(1 << level):
                     node = (1 << level) - 1 + i
@@ -233,13 +263,12 @@ def fit(rows: DataFrame, held: list[int], options: Options = Options(), *, keep_
 
 def _advanced(table: DataFrame, trees: Trees, done: int, r: int) -> DataFrame:
     """The table with the margins of rounds done to r added."""
-    width = len(trees.cuts)
+    width, near = len(trees.cuts), trees.rounds(done, r)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, margins = _read(batch, width)
-            new = pa.array(list(margins + trees.margins(codes, done, r)), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], new], batch.schema.names)
+            new = [(margins + near.margins(codes)).tobytes() for *_, codes, margins in _blocks(batch, width)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(new, pa.binary())], batch.schema.names)
 
     return stored(table.mapInArrow(add, table.schema), "boosted-margins")
 

@@ -98,6 +98,24 @@ def test_loss_falls_and_reruns_agree(rows, points, trees, monkeypatch):
     assert (again.feature == trees.feature).all() and (again.bin == trees.bin).all() and np.allclose(again.value, trees.value)
 
 
+def test_a_level_reads_blocks_and_sums_one_child_of_two(rows, points, trees, monkeypatch):
+    x, y, fold = points
+    table, parts = B.binned(rows, trees.cuts, 3)
+    assert parts == 1 and table.count() == 1  # 240 rows, stored together
+    seen, histograms = [], B.histograms
+    monkeypatch.setattr(B, "histograms", lambda *a: seen.append((a[4], histograms(*a))) or seen[-1][1])
+    deep = B.fit(rows, [0, 1, 2], B.Options(rounds=1, depth=3, rows=1.0, bins=16))
+    codes = B._codes(x, deep.cuts)
+    for slots, sums in seen[1:]:
+        for m, node in zip(*np.nonzero(slots >= 0)):
+            sibling = node - 1 if node % 2 == 0 else node + 1
+            assert slots[m, sibling] == -1 and deep.cover[m, 0, node] <= deep.cover[m, 0, sibling]
+            own = (fold != m) & (deep._reached(codes.T, m, 0, np.arange(slots.shape[1])) == node)
+            p = 1 / (1 + np.exp(-deep.base[m]))
+            assert sums[m, slots[m, node], 0, :, 0].sum() == pytest.approx((p - y[own]).sum(), abs=1e-4)
+    assert len(seen) == 3
+
+
 def test_models_do_not_look_at_the_fold_they_hold(spark, rows, trees):
     other = rows.withColumn("y", F.when(F.col("fold") == 1, 1 - F.col("y")).otherwise(F.col("y")))
     again = B.fit(other, [0, 1, 2], SMALL)
