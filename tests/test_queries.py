@@ -48,3 +48,10 @@ def test_more_lines_are_dealt_to_more_tasks(spark, monkeypatch):
     assert registry.records(spark, SF).rdd.getNumPartitions() == -(-lines // 100)
     plan = QUERIES["feature_set_projection"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1  # one task does not hold a join for each set
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_description_does_not_depend_on_how_lines_are_dealt(spark, monkeypatch):
+    want = sorted(repr(r) for r in QUERIES["describe_overall_and_by_label"](spark, SF).collect())
+    monkeypatch.setattr(registry, "LINES_A_TASK", 200)
+    assert sorted(repr(r) for r in QUERIES["describe_overall_and_by_label"](spark, SF).collect()) == want
