@@ -16,10 +16,13 @@ def to_long(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
 
 
 def describe(long: DataFrame, by: list[str], value: str = "x") -> DataFrame:
-    """(*by, n, mean, std, median, min, max, iqr) of each group; std has n - 1 degrees of freedom, quantiles interpolate."""
+    """(*by, n, mean, std, median, min, max, iqr) of each group; std has n - 1 degrees of freedom, quantiles interpolate.
+
+    The plain figures come first and are stored, a row a group; their sizes tell how many tasks the quantiles' values need."""
     x = F.col(value)
     plain = long.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
-    q = quantiles(long, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    plain = stored(plain, "plain-figures")
+    q = quantiles(long, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, rows=plain.agg(F.sum("n")).first()[0] or 0)
     return plain.join(q, by, "left").select(*by, "n", "mean", "std", "median", "min", "max", (F.col("q3") - F.col("q1")).alias("iqr"))
 
 

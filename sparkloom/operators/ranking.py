@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.sources.shared import few, stored
+from sparkloom.sources.shared import few, shuffled, stored
 
 
 #: At most so many groups have their quantiles, and parts their sums, sent to all tasks.
@@ -14,17 +16,20 @@ MAX_GROUPS = 10_000
 PART = 1_000_000
 
 
-def cumulative_counts(df: DataFrame, by: list[str], value: str, sums: dict[str, Column] | None = None, *, weight: str | None = None, buckets: int = 64) -> DataFrame:
+def cumulative_counts(df: DataFrame, by: list[str], value: str, sums: dict[str, Column] | None = None, *, weight: str | None = None, buckets: int = 64, rows: int = 0) -> DataFrame:
     """(*by, value, n, *sums, before, total): each distinct value of each group with its number of rows (or their sum of weight), the
     number of rows with smaller values, and the group's rows. Null values and groups do not count; NaN is the largest value.
 
     The source is read once: equal values are summed before anything else and the sums are stored. Each group's values are
     then parted at approximate quantiles, buckets of them or as many as keep a part near PART values. These quantiles, a row a group,
     go to all tasks, and running sums go over parts and, within each part, over its values: however large a group is,
-    its values are never dealt by group, and only one part is sorted in a task. The result does not depend on the cuts."""
+    its values are never dealt by group, and only one part is sorted in a task. The result does not depend on the cuts. If it is told
+    how many rows there are, it deals as many of their distinct values to a task however many these are, PART about."""
+    tasks = ceil(rows / PART)
     n = F.count("*") if weight is None else F.sum(weight)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("n"), *[F.sum(c).alias(name) for name, c in (sums or {}).items()])
-    counts = stored(counts, "distinct-values")
+    with shuffled(df.sparkSession, tasks):
+        counts = stored(counts, "distinct-values")
     largest = counts.groupBy(*by).agg(F.count("*").alias("d")).agg(F.max("d")).first()[0] or 0
     buckets = max(buckets, -(-largest // PART))
     cuts = [i / buckets for i in range(1, buckets)]
@@ -35,6 +40,8 @@ def cumulative_counts(df: DataFrame, by: list[str], value: str, sums: dict[str,
     parts = parted.groupBy(*by, "_part").agg(F.sum("n").alias("_n"))
     parts = parts.select(*by, "_part", F.coalesce(below, F.lit(0)).alias("_below"), F.sum("_n").over(group).alias("total"))
     inner = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        parted = parted.repartition(tasks, *by, "_part")
     inside = parted.withColumn("_inside", F.coalesce(F.sum("n").over(inner), F.lit(0)))
     out = inside.join(few(stored(parts, "group-parts"), MAX_GROUPS * buckets), [*by, "_part"]).withColumn("before", F.col("_below") + F.col("_inside"))
     return out.drop("_part", "_below", "_inside")
@@ -62,9 +69,9 @@ def average_ranks(df: DataFrame, by: list[str], value: str, *, descending: bool
     return out.withColumn(name, F.coalesce("_rank", F.col("_some") + (F.col("_none") + 1) / 2)).drop("_v", "_rank", "_some", "_none")
 
 
-def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], *, rows: int = 0) -> DataFrame:
     """(*by, *shares): exact quantiles of each group with linear interpolation, from running counts."""
-    return quantiles_of(cumulative_counts(df, by, value), by, value, shares)
+    return quantiles_of(cumulative_counts(df, by, value, rows=rows), by, value, shares)
 
 
 def quantiles_of(counted: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:

@@ -164,3 +164,21 @@ def _silhouettes(spark, monkeypatch, block):
         own = (label == label[i]).sum()
         a, b = d[i, label == label[i]].sum() / max(own - 1, 1), min(d[i, label == c].mean() for c in set(label) - {label[i]})
         assert got[i] == pytest.approx(0 if own == 1 else (b - a) / max(a, b), abs=1e-6)
+
+
+def test_distinct_values_are_dealt_by_the_number_of_rows(spark, monkeypatch):
+    """However few partitions a shuffle has, a task gets about PART distinct values; the session's settings stay."""
+    long = spark.range(400).selectExpr("id % 2 as feature", "cast(id * 7 % 397 as double) as x")
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"]
+    before, want, files = [spark.conf.get(k) for k in keys], sorted(describe.describe(long, ["feature"]).collect()), []
+
+    def kept(df, name, stored=ranking.stored):
+        out = stored(df, name)
+        files.extend([len(out.inputFiles())] * (name == "distinct-values"))
+        return out
+
+    monkeypatch.setattr(ranking, "stored", kept)
+    monkeypatch.setattr(ranking, "PART", 10)
+    assert sorted(describe.describe(long, ["feature"]).collect()) == want
+    assert len(files) == 1 and files[0] > int(before[0])
+    assert [spark.conf.get(k) for k in keys] == before
