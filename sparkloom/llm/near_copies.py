@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from sparkloom.llm.common import components, free_names, join_hot, small, stored
-from sparkloom.llm.simhash import SEED, classes as fingerprint_classes, digests, fingerprint
+from sparkloom.llm.simhash import SEED, digests, fingerprint, links
 
 #: Two sets of similarity 0.8 share no band of six in 32 with a chance of (1 - 0.8 ** 6) ** 32 = 0.00006; sets of similarity
 #: 0.35 share one with a chance of 0.06.
@@ -113,12 +113,13 @@ def _links(members: DataFrame, sets: DataFrame, min_percent: int) -> DataFrame:
 
 
 def _fingerprint_links(rows: DataFrame, max_bits: int) -> DataFrame:
-    """(a, b): sets joined because texts of rows (fp, key, doc_id) that have them have fingerprints linked by SimHash: the least set of a group with
-    each other one, so copies are not spread into pairs."""
-    of = fingerprint_classes(rows.select("fp", "doc_id"), max_bits).select("fp", "n", "root")
-    held = stored(join_hot(rows.select("fp", "key"), of, "fp", "n").select("root", "key").distinct(), "fingerprint-sets")
-    heads = stored(held.groupBy("root").agg(F.min("key").alias("a"), F.count("*").alias("n")).where("n > 1"), "fingerprint-heads")
-    return join_hot(held, heads, "root", "n").where("key <> a").select("a", F.col("key").alias("b"))
+    """(a, b): pairs of sets that join all whose texts in rows (fp, key) have equal or linked fingerprints: the least set of a fingerprint with each
+    other one of its own, and with the least sets of the fingerprints that SimHash links to it. So copies are not spread into pairs, and
+    the groups are found once, over these and all other links."""
+    held = stored(rows.select("fp", "key").distinct(), "fingerprint-sets")
+    heads = stored(held.groupBy("fp").agg(F.min("key").alias("a"), F.count("*").alias("n")), "fingerprint-heads")
+    own = join_hot(held, heads.where("n > 1"), "fp", "n").where("key <> a").select("a", F.col("key").alias("b"))
+    return own.unionByName(links(heads, max_bits=max_bits, name="a"))
 
 
 def one_of_each(docs: DataFrame, *, width: int = 5, min_percent: int = 80, max_bits: int | None = None) -> DataFrame:
@@ -159,7 +160,7 @@ def one_of_each(docs: DataFrame, *, width: int = 5, min_percent: int = 80, max_b
     sets = stored(texts.mapInArrow(items, "key long, items array<long>"), "near-copy-shingles")
     joined = _links(members, sets, min_percent)
     if max_bits is not None:
-        joined = joined.unionByName(_fingerprint_links(rows.select(F.col(fp).alias("fp"), F.col(name).alias("key"), "doc_id"), max_bits)).distinct()
+        joined = joined.unionByName(_fingerprint_links(rows.select(F.col(fp).alias("fp"), F.col(name).alias("key")), max_bits))
     of = components(joined, "near-copy-groups").withColumnRenamed("node", "key")
     keep = classes.join(of, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first")["row"].alias(row))
     return rows.join(keep.select(row), row, "left_semi").select(*docs.columns).toDF(*names)

@@ -68,8 +68,9 @@ def _bits(value: Column, start: int, width: int) -> Column:
     return F.shiftrightunsigned(value, start).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def links(prints: DataFrame, *, max_bits: int = 3, segments: int = 2, crowded: int = 500, max_broadcast_rows: int = 200_000) -> DataFrame:
-    """(a, b) with a < b: all pairs of the distinct fingerprints fp that differ in max_bits bits or fewer, some of them twice.
+def links(prints: DataFrame, *, max_bits: int = 3, segments: int = 2, crowded: int = 500, max_broadcast_rows: int = 200_000, name: str | None = None) -> DataFrame:
+    """(a, b) with a < b: all pairs of the distinct fingerprints fp that differ in max_bits bits or fewer, some of them twice. With name, a
+    and b are what this column of prints has for the two, in the order of the fingerprints.
 
     If the segments of a pair differ in max_bits bits in all, one of them differs in max_bits // segments
     at most. So each fingerprint asks, for every segment, for all values in that Hamming ball; a table
@@ -81,11 +82,14 @@ def links(prints: DataFrame, *, max_bits: int = 3, segments: int = 2, crowded: i
     """
     width, radius = 64 // segments, max_bits // segments
     parts = [F.struct(F.lit(s).alias("s"), _bits(F.col("fp"), s * width, width).alias("v")) for s in range(segments)]
-    by_part = prints.select("fp", F.explode(F.array(*parts)).alias("p")).select("fp", "p.s", "p.v")
+    named = [] if name is None else [name]
+    by_part = prints.select("fp", *named, F.explode(F.array(*parts)).alias("p")).select("fp", *named, "p.s", "p.v")
+    named_a, named_b = ([F.col(c).alias(f"name_{end}") for c in named] for end in "ab")
+    ends = [F.col(f"name_{end}" if named else end).alias(end) for end in "ab"]
     full = stored(by_part.groupBy("s", "v").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("s", "v"), "crowded-segments")
     full = small(full, max_broadcast_rows)
-    asked = by_part.select(F.col("fp").alias("a"), "s", F.explode(F.transform(_masks(width, radius), lambda m: F.col("v").bitwiseXOR(m))).alias("v"))
-    table = by_part.withColumnRenamed("fp", "b")
+    asked = by_part.select(F.col("fp").alias("a"), *named_a, "s", F.explode(F.transform(_masks(width, radius), lambda m: F.col("v").bitwiseXOR(m))).alias("v"))
+    table = by_part.select(F.col("fp").alias("b"), *named_b, "s", "v")
     near = (F.col("a") < F.col("b")) & (_hamming(F.col("a"), F.col("b")) <= max_bits)
     light = asked.join(full, ["s", "v"], "left_anti").join(table.join(full, ["s", "v"], "left_anti").hint("shuffle_hash"), ["s", "v"]).where(near)
     # The segment after s, in two halves: a pair that agrees in s differs there in max_bits bits at most, so one half does in half of them.
@@ -97,10 +101,11 @@ def links(prints: DataFrame, *, max_bits: int = 3, segments: int = 2, crowded: i
             other = other.when(F.col("s") == s, _bits(F.col(fp), (s + 1) % segments * width, width))
         return F.array(*[F.struct(F.lit(i).alias("i"), _bits(other, i * half, half).alias("w")) for i in range(2)])
 
-    asks = asked.join(full, ["s", "v"], "left_semi").select("a", "s", "v", F.explode(halves("a")).alias("h"))
-    asks = asks.select("a", "s", "v", "h.i", F.explode(F.transform(_masks(half, max_bits // 2), lambda m: F.col("h.w").bitwiseXOR(m))).alias("w"))
-    answers = table.join(full, ["s", "v"], "left_semi").select("b", "s", "v", F.explode(halves("b")).alias("h")).select("b", "s", "v", "h.*")
-    return light.select("a", "b").unionByName(asks.join(answers, ["s", "v", "i", "w"]).where(near).select("a", "b"))
+    held_a, held_b = (["name_a"], ["name_b"]) if named else ([], [])
+    asks = asked.join(full, ["s", "v"], "left_semi").select("a", *held_a, "s", "v", F.explode(halves("a")).alias("h"))
+    asks = asks.select("a", *held_a, "s", "v", "h.i", F.explode(F.transform(_masks(half, max_bits // 2), lambda m: F.col("h.w").bitwiseXOR(m))).alias("w"))
+    answers = table.join(full, ["s", "v"], "left_semi").select("b", *held_b, "s", "v", F.explode(halves("b")).alias("h")).select("b", *held_b, "s", "v", "h.*")
+    return light.select(*ends).unionByName(asks.join(answers, ["s", "v", "i", "w"]).where(near).select(*ends))
 
 
 def classes(prints: DataFrame, max_bits: int = 3, segments: int = 2) -> DataFrame:

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from sparkloom.llm import near_copies
+from sparkloom.llm import common, near_copies, simhash
 from tests.llm.test_text_operators import SCHEMA, corpus
 
 COLUMNS = "doc_id long, text string"
@@ -98,3 +98,32 @@ def test_texts_that_each_differ_in_their_own_places_are_not_all_compared(spark,
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b c", 0, 7), (2, "a b c", 0, 8)], "doc_id long, text string, `a.b` int, _copy_key int")
     assert [r.asDict() for r in near_copies.one_of_each(df).collect()] == [{"doc_id": 1, "text": "a b c", "a.b": 0, "_copy_key": 7}]
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    names, kept = [], common.stored
+    monkeypatch.setattr(common, "stored", lambda df, name: names.append(name) or kept(df, name))
+    stars = spark.createDataFrame([(1, 2), (3, 1), (1, 2), (5, 9), (4, 4)], "a long, b long")
+    assert {tuple(r) for r in common.components(stars, "links").collect()} == {(1, 1), (2, 1), (3, 1), (5, 5), (9, 5)}
+    assert names == ["links"]
+    chain = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 40), (31, 40)], "a long, b long")
+    assert {tuple(r) for r in common.components(chain, "links").collect()} == {(i, 0) for i in range(21)} | {(i, 30) for i in (30, 31, 40)}
+
+
+def test_groups_over_fingerprints_and_shingles_are_found_once(spark, monkeypatch):
+    names, kept = [], simhash.components
+    for module in (near_copies, simhash):
+        monkeypatch.setattr(module, "components", lambda edges, name: names.append(name) or kept(edges, name))
+    words = [f"w{i}" for i in range(300)]
+    rows = [(2, " ".join(words)), (1, " ".join([*words[:-1], "end"])), (3, "quite another text of some words"), (4, " ".join(words))]
+    assert sorted(r.doc_id for r in near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), max_bits=3).collect()) == [1, 3]
+    assert names == ["near-copy-components", "near-copy-groups"]
+
+
+def test_links_under_another_name(spark):
+    prints = spark.createDataFrame([(0, 70), (7, 80), (15, 90), (1 << 40, 60)], "fp long, name long")
+    plain = {tuple(r) for r in simhash.links(prints).collect()}
+    assert plain == {(0, 7), (7, 15), (0, 1 << 40)}
+    of = {0: 70, 7: 80, 15: 90, 1 << 40: 60}
+    for crowded in (500, 1):
+        assert {tuple(r) for r in simhash.links(prints, name="name", crowded=crowded).collect()} == {(of[a], of[b]) for a, b in plain}
