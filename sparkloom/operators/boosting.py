@@ -20,8 +20,10 @@ from sparkloom.sources.shared import stored
 
 #: Gradients are summed as whole numbers, so that sums in any order agree.
 _SCALE = float(1 << 24)
-#: Rows that are stored and looked at together.
-_ROWS = 4096
+#: Rows that are stored and looked at together, at most; Spark hands over batches of 10,000.
+_ROWS = 1 << 14
+#: Two features are counted together if their bins make so many cells at most.
+_CELLS = 4096
 
 
 @dataclass(frozen=True)
@@ -142,34 +144,51 @@ def _drawn(draw: np.ndarray, share: float, seed: int) -> np.ndarray:
     return (x >> np.uint64(11)).astype(float) / (1 << 53) < share
 
 
+def _joint(by_feature: np.ndarray, bins: int) -> np.ndarray:
+    """(pairs of features, rows): a number for the bins of two neighbouring features together; the last of an odd number is alone."""
+    out = by_feature[::2].astype(np.intp) * bins
+    out[: by_feature.shape[0] // 2] += by_feature[1::2]
+    return out
+
+
+def _apart(sums: np.ndarray, bins: int) -> np.ndarray:
+    """(..., features, slot, bin): the sums (..., pairs of features, slot, bins of both) of each feature by itself."""
+    both = sums.reshape(*sums.shape[:-1], bins, bins)
+    each = np.stack([both.sum(axis=-1), both.sum(axis=-2)], axis=-3)  # (..., pairs, which of two, slot, bin)
+    return each.reshape(*sums.shape[:-3], 2 * sums.shape[-3], sums.shape[-2], bins)
+
+
 def histograms(table: DataFrame, trees: Trees, done: int, r: int, slots: np.ndarray, held: list[int], options: Options, parts: int = 2) -> np.ndarray:
     """(model, slot, feature, bin, 2): sums of first and second derivatives of the log loss over the rows that a model learns from
     in round r. slots (models, nodes down to the level) tells each node's slot, -1 for nodes whose rows are not summed. margins
     of the table hold the first done rounds."""
     width, models, bins, count, near = len(trees.cuts), len(held), options.bins, int(slots.max()) + 1, trees.rounds(done, r + 1)
+    pair = bins * bins <= _CELLS
 
     def add(batch: pa.RecordBatch) -> np.ndarray:
-        total = np.zeros((models, 2, count * width * bins))
-        at, own_at, weights = np.empty((_ROWS, width), np.intp), np.empty((_ROWS, width), np.intp), np.empty((_ROWS, width))
+        total = np.zeros((models, 2, -(-width // 2) if pair else width, count * bins * (bins if pair else 1)))
         for draw, y, fold, codes, margins in _blocks(batch, width):
             by_feature = np.ascontiguousarray(codes.T)
             margins = margins + near.base + near._margins(by_feature, 0, r - done)
-            place = np.add(codes, np.arange(width) * bins, out=at[: len(codes)])
+            places = _joint(by_feature, bins) if pair else by_feature.astype(np.intp)
             for m in range(models):
                 slot = np.broadcast_to(near._reached(by_feature, m, r - done, slots[m]), len(codes))
                 own = np.flatnonzero((fold != held[m]) & (slot >= 0) & _drawn(draw, options.rows, options.seed + 1000 * r + m))
                 p = 1 / (1 + np.exp(-margins[own, m]))
-                cells, weight = np.take(place, own, axis=0, out=own_at[: len(own)], mode="clip"), weights[: len(own)]
-                if count > 1:
-                    cells += slot[own, None] * (width * bins)
-                for i, d in enumerate((p - y[own], p * (1 - p))):
-                    # Whole numbers below 2 ** 53 add up exactly as doubles.
-                    weight[:] = np.rint(d * _SCALE)[:, None]
-                    total[m, i] += np.bincount(cells.ravel(), weight.ravel(), total.shape[2])
-        return total
+                # Whole numbers below 2 ** 53 add up exactly as doubles.
+                weights = [np.rint(d * _SCALE) for d in (p - y[own], p * (1 - p))]
+                first = slot[own] * (total.shape[3] // count)
+                for f, place in enumerate(places):
+                    cells = place.take(own)
+                    if count > 1:
+                        cells += first
+                    for i, weight in enumerate(weights):
+                        total[m, i, f] += np.bincount(cells, weight, total.shape[3])
+        total = total.reshape(models, 2, len(total[0, 0]), count, -1)
+        return np.moveaxis(_apart(total, bins)[:, :, :width] if pair else total, 3, 2)
 
     found = array_sums(table, add, parts)
-    out = found if found.size else np.zeros((models, 2, count * width * bins))
+    out = found if found.size else np.zeros((models, 2, count, width, bins))
     return np.moveaxis(out.reshape(models, 2, count, width, bins), 1, -1) / _SCALE
 
 

@@ -295,3 +295,33 @@ def test_extra_trees_a_batch_at_a_time(spark, rows, monkeypatch):
     assert len(got) == 240
     for r in got[::40]:
         assert r.score == pytest.approx(sum(f.trees * f.probability(np.array([r.vector]), r.fold)[0] for f in grown) / 5)
+
+
+@pytest.mark.parametrize("width, bins", [(6, 32), (7, 64), (1, 8)])
+def test_two_features_are_counted_together(width, bins):
+    """Sums of weights by the bins of two features give those of each by itself, for the last of an odd number too."""
+    draw = np.random.default_rng(width)
+    codes, weights, slot = draw.integers(0, bins, (width, 500)), draw.integers(-9, 9, 500).astype(float), draw.integers(0, 3, 500)
+    places = B._joint(codes.astype(np.uint8), bins)
+    assert places.shape == (-(-width // 2), 500)
+    sums = np.stack([np.bincount(p + slot * bins * bins, weights, 3 * bins * bins) for p in places]).reshape(len(places), 3, bins * bins)
+    want = np.stack([np.bincount(c + slot * bins, weights, 3 * bins).reshape(3, bins) for c in codes])
+    assert (B._apart(sums[None, None], bins)[0, 0, :width] == want).all()
+
+
+@pytest.mark.parametrize("bins", [16, 100])
+def test_histograms_of_an_odd_number_of_features(rows, points, bins):
+    x, y, fold = points
+    o = B.Options(rounds=1, depth=2, rows=1.0, columns=1.0, bins=bins)
+    trees = B.fit(rows, [0, -1], o)
+    table, parts = B.binned(rows, trees.cuts, 2)
+    codes, slots = B._codes(x, trees.cuts), np.array([[-1, 0, 1]] * 2)
+    sums = B.histograms(table, trees, 0, 0, slots, [0, -1], o, parts)
+    assert sums.shape == (2, 2, x.shape[1], bins, 2)
+    for m, held in enumerate((0, -1)):
+        p = 1 / (1 + np.exp(-trees.base[m]))
+        for s in range(2):
+            node = trees._reached(codes.T, m, 0, np.arange(3))[: len(x)] - 1 if trees.feature[m, 0, 0] >= 0 else np.full(len(x), -9)
+            own = (fold != held) & (node == s)
+            for j in range(x.shape[1]):
+                assert np.allclose(sums[m, s, j, :, 0], np.bincount(codes[own, j], (p - y[own]), bins), atol=1e-4)
