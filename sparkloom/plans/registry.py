@@ -37,7 +37,7 @@ FEATURES = ["quantity", "extendedprice", "discount", "tax"]
 
 
 #: So many order lines meet their orders in one task, about; few of them are dealt to twelve tasks still.
-LINES_A_TASK = 500_000
+LINES_A_TASK = 200_000
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,3 +55,8 @@ def test_description_does_not_depend_on_how_lines_are_dealt(spark, monkeypatch):
     want = sorted(repr(r) for r in QUERIES["describe_overall_and_by_label"](spark, SF).collect())
     monkeypatch.setattr(registry, "LINES_A_TASK", 200)
     assert sorted(repr(r) for r in QUERIES["describe_overall_and_by_label"](spark, SF).collect()) == want
+
+
+def test_few_order_lines_meet_in_a_task():
+    """A task's memory follows this number until the tables have more than twelve times as many lines."""
+    assert registry.LINES_A_TASK <= 200_000
