@@ -325,3 +325,16 @@ def test_histograms_of_an_odd_number_of_features(rows, points, bins):
             own = (fold != held) & (node == s)
             for j in range(x.shape[1]):
                 assert np.allclose(sums[m, s, j, :, 0], np.bincount(codes[own, j], (p - y[own]), bins), atol=1e-4)
+
+
+def test_extra_trees_are_the_same_within_tasks_and_across_them(rows, monkeypatch):
+    """Nodes of few rows grow to their leaves in a job, not two jobs a level, and how few these are changes no tree."""
+    passes, plain = [], E._grouped
+    monkeypatch.setattr(E, "_grouped", lambda *a: passes.append(1) or plain(*a))
+    inside = E.fit(rows, [0, 2], trees=7)
+    assert not passes
+    for least in (60, 1):
+        across = E.fit(rows, [0, 2], trees=7, rows_a_task=least, max_frontier=10_000)
+        assert passes and all((getattr(inside, k) == getattr(across, k)).all() for k in ("feature", "cut", "left", "n", "ones"))
+    shallow = [E.fit(rows, [1], trees=4, depth=3, rows_a_task=r) for r in (10_000, 50)]
+    assert (shallow[0].feature == shallow[1].feature).all() and 4 * 3 < (shallow[0].n > 0).sum() <= 4 * 15
