@@ -338,3 +338,17 @@ def test_extra_trees_are_the_same_within_tasks_and_across_them(rows, monkeypatch
         assert passes and all((getattr(inside, k) == getattr(across, k)).all() for k in ("feature", "cut", "left", "n", "ones"))
     shallow = [E.fit(rows, [1], trees=4, depth=3, rows_a_task=r) for r in (10_000, 50)]
     assert (shallow[0].feature == shallow[1].feature).all() and 4 * 3 < (shallow[0].n > 0).sum() <= 4 * 15
+
+
+def test_rows_that_follow_another_reach_the_leaves_of_their_own_values(forest, points):
+    """Permuted rows go their base row's way only as far as their own values lead there, whatever order rows come in."""
+    x, rng = points[0], np.random.default_rng(8)
+    near = np.repeat(x[:40], 6, axis=0)
+    for i in range(len(near)):
+        if i % 6:
+            near[i, i % 6 - 1] = x[rng.integers(240), i % 6 - 1]
+    twice = np.concatenate([near[:12], near[:12][::-1], near[1:2], near[1:2], x[100:103]])
+    for some in (near, near[rng.permutation(len(near))], twice, x, x[:1]):
+        assert (forest._leaves(some, slice(0, 60)) == forest.places(some, slice(0, 60))).all()
+    first, differs = E._followed(near)
+    assert (first == np.arange(len(near)) // 6 * 6).all() and set(differs[::6]) == {-1}
